@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, secrets
+from . import exact, fingerprint, jaccard, language, packing, pii, secrets, toxicity, wordbpe
 from .common import documents
 
 #: The separator token of the packing vocabulary; its file and pattern come from the installed tokenizers.
@@ -19,6 +19,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, PACK_SPECIAL)
 
 
+def op2_pii_lstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
@@ -27,7 +31,29 @@ def op5_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir)).drop("spans_found")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op5_secret_linking)}
+def op6_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    return wordbpe.encode_documents(documents(spark, sf_dir), vocabularies.path("word_bpe_49k.json"))
+
+
+def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+def op8_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(documents(spark, sf_dir))
+
+
+def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_pii_lstm_crf, op3_exact_dedup, op5_secret_linking, op6_bpe_prefix_dp, op7_language_crf, op8_prefix_fingerprints, op9_ngram_jaccard_join, op10_toxicity_pu)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
