@@ -240,26 +240,37 @@ def sample(docs: DataFrame, learn_from: str, texts_each: int = SAMPLE_TEXTS, cha
     return sorted((r["text"], r["lang"]) for r in rows.join(few, ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text")).select("lang", window).collect())
 
 
-def identify(docs: DataFrame, learn_from: str = "pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2", keep: list[str] | None = None) -> DataFrame:
+#: Rows that are learned from, unless the caller says otherwise.
+LEARN_FROM = "pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2"
+
+
+def identify(docs: DataFrame, learn_from: str = LEARN_FROM) -> DataFrame:
     """One row for each row of docs (doc_id, text, lang): doc_id, held_out, lang_pred, score.
 
     learn_from says which rows are learned from; the others are held out. lang_pred is `und` with score 0 for a null
-    text, one without a letter, or where there was nothing to learn from. A null id is learned from never and is held
-    out. Ties between languages go to the first by name; repeated rows give equal rows; other columns are not read. keep: columns
-    of docs that come along as they are.
+    text, one without a letter, or where there was nothing to learn from. A row without an id is learned from never and
+    is held out. Ties between languages go to the first by name; repeated rows give equal rows; other columns are not
+    read.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(train(sample(docs, learn_from)))  # its size is set by BUCKETS and the sample
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(~F.expr(learn_from), F.lit(True)).alias("held_out"), "text", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep or [])])
+    sent = docs.sparkSession.sparkContext.broadcast(train(sample(docs, learn_from)))  # its size is set by BUCKETS and the sample
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(~F.expr(learn_from), F.lit(True)).alias("held_out"), "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for b in it:
-            names, scores = score_texts(m, b.column(2))
-            columns = [b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns + ([b.column(2)] if keep is not None else []) + [b.column(i) for i in range(3, b.num_columns)], names=out)
-
-    kept = [docs.schema[c] for c in keep or []]
-    out = ["doc_id", "held_out", "lang_pred", "score"] + (["text"] if keep is not None else []) + [f"_k{i}" for i in range(len(kept))]
-    schema = PREDICTED + (", text string" if keep is not None else "") + "".join(f", _k{i} {f.dataType.simpleString()}" for i, f in enumerate(kept))
-    return rows.mapInArrow(run, schema)
+            names, scores = score_texts(sent.value, b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    return rows.mapInArrow(run, PREDICTED)
+
+
+def with_language(docs: DataFrame, least: float = 0.5, learn_from: str = LEARN_FROM) -> DataFrame:
+    """The rows of docs, whole, whose text has a language with a score of least or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(sample(docs, learn_from)))
+    at = docs.columns.index("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            names, scores = score_texts(sent.value, b.column(at))
+            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, fingerprint, jaccard, language, packing, pii, secrets, toxicity, wordbpe
+from . import exact, fingerprint, jaccard, language, packing, pii, secrets, toxicity, warc, wordbpe
 from .common import documents
 
 #: The separator token of the packing vocabulary; its file and pattern come from the installed tokenizers.
@@ -27,6 +28,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.crawl(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    pairs = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(F.lower(e["key"]), F.lit("="), e["value"]))), ";")
+    return found.select("record_id", ((F.col("record_id") - 1) / 2).cast("long").alias("page_id"), "url_key", "ts", "source_id", "outcome", "digest", pairs.alias("headers"))
+
+
 def op5_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir)).drop("spans_found")
 
@@ -53,9 +60,31 @@ def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_pii_lstm_crf, op3_exact_dedup, op5_secret_linking, op6_bpe_prefix_dp, op7_language_crf, op8_prefix_fingerprints, op9_ngram_jaccard_join, op10_toxicity_pu)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_pii_lstm_crf, op3_exact_dedup, op4_warc_revisits, op5_secret_linking, op6_bpe_prefix_dp, op7_language_crf, op8_prefix_fingerprints, op9_ngram_jaccard_join, op10_toxicity_pu)}
 
 ORACLES = {
+    "op4_warc_revisits": r"""
+        WITH p AS (SELECT page_id, url, sha256(coalesce(html, '')) AS digest FROM pages),
+        again AS (SELECT *, regexp_replace(regexp_replace(url, '^https?://', 'HTTPS://WWW.') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_campaign=again', '(#[^?]*)([?].*)$', '\2\1') AS url2 FROM p),
+        log AS (
+            SELECT page_id * 2 AS record_id, url, page_id * 10 AS ts, 'response' AS type, digest[1:16] AS etag, digest,
+                   'content-type=text/html' AS own, 'day ' || CAST(page_id AS VARCHAR) AS day FROM p
+            UNION ALL
+            SELECT page_id * 2 + 1, url2, page_id * 10 + CASE WHEN page_id % 5 = 0 THEN -5 ELSE 100000 END, 'revisit',
+                   CASE page_id % 3 WHEN 0 THEN digest[1:16] WHEN 1 THEN 'other' END, digest, '', '' FROM again),
+        cut AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/@?]*@)?', '') AS rest FROM log),
+        keyed AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':(80|443)$', ''), '^www\d*\.', '') AS host,
+                   regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+                   list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))) AS params FROM cut),
+        named AS (SELECT *, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key FROM keyed),
+        found AS (SELECT q.record_id, q.url_key, q.ts, q.etag AS q_etag, q.digest AS q_digest, s.record_id AS s_id, s.etag AS s_etag, s.digest AS s_digest, s.own, s.day
+                  FROM (SELECT * FROM named WHERE type = 'revisit') q ASOF LEFT JOIN (SELECT * FROM named WHERE type = 'response') s ON q.url_key = s.url_key AND q.ts > s.ts),
+        judged AS (SELECT *, CASE WHEN s_id IS NULL THEN 'missing' WHEN q_etag IS NOT NULL AND q_etag = s_etag THEN 'resolved'
+                   WHEN q_etag IS NULL AND q_digest = s_digest THEN 'resolved' ELSE 'mismatch' END AS outcome FROM found)
+        SELECT record_id, CAST((record_id - 1) / 2 AS BIGINT) AS page_id, url_key, ts, CASE WHEN outcome = 'resolved' THEN s_id END AS source_id, outcome,
+               CASE WHEN outcome = 'resolved' THEN s_digest ELSE q_digest END AS digest,
+               CASE WHEN outcome = 'resolved' THEN 'cache-control=no-cache;content-type=text/html;date=now;etag=' || s_etag ELSE 'cache-control=no-cache;content-type=text/plain;date=now' END AS headers
+        FROM judged""",
     "op3_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,

@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the distinct words of a text is trained from confirmed toxic texts and unlabelled ones. Its
+A linear classifier over the distinct words of a text, by their hashes and those of their first bytes, is trained from confirmed toxic texts and unlabelled ones. Its
 risk is the class prior's share of the positive risk, and the unlabelled risk less what the positives add to it; where
 that difference falls below zero, the step takes it back up.
 """
@@ -20,71 +20,88 @@ from .textbytes import LETTER, lowered, span_hashes, words
 
 #: The training sample: so many confirmed and so many unlabelled texts, and so many code points of each, from a place given by a hash.
 CONFIRMED, UNLABELLED, SAMPLE_CHARS = 1500, 5000, 8000
-#: A word is a feature if so many texts of the sample have it.
-LEAST_TEXTS = 8
+#: A feature is one that so many confirmed texts have, and so many times as often as unlabelled ones.
+LEAST_TEXTS, LIFT = 4, 4.0
+PREFIXES = (3, 4, 5)
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, row, word) with each distinct word of each text once."""
+def distinct_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, row, word, features): each distinct word of each text once, as a row of features.
+
+    The features of a word are hashes of itself and of its first bytes.
+    """
     for lo, hi, raw, offsets in slices(column):
         data = lowered(raw)
         text, start, end = words(data, offsets, LETTER)
-        h = span_hashes(data, start, end)
-        order = np.lexsort((h, text))
-        t, w = text[order], h[order]
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1])
-        yield lo, hi, t[new], w[new]
+        ends = [end, *[np.minimum(end, start + k) for k in PREFIXES]]
+        h = span_hashes(data, np.tile(start, len(ends)), np.concatenate(ends)).reshape(len(ends), -1)
+        _, first, which = np.unique(h[0], return_index=True, return_inverse=True)
+        pairs = np.unique(text * len(first) + which) if len(first) else np.zeros(0, np.int64)
+        n = max(1, len(first))
+        f = h[:, first]
+        for k in range(1, len(ends)):
+            f[k] ^= np.uint64(k)  # a prefix and a whole word are two features
+        yield lo, hi, pairs // n, pairs % n, f
 
 
 @dataclass
 class Model:
-    words: np.ndarray  # sorted hashes
+    features: np.ndarray  # sorted hashes
     weights: np.ndarray
     bias: float
 
     def scores(self, column: pa.Array) -> np.ndarray:
         out = []
-        for lo, hi, row, word in features(column):
-            f = np.full(hi - lo, self.bias)
-            if len(self.words) and len(word):
-                at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-                hit = self.words[at] == word
-                f += np.bincount(row[hit], self.weights[at[hit]], hi - lo)
-            out.append(1 / (1 + np.exp(-np.clip(f, -40, 40))))
+        for lo, hi, row, word, f in distinct_words(column):
+            value = np.zeros(f.shape[1])
+            if len(self.features):
+                at = np.minimum(np.searchsorted(self.features, f), len(self.features) - 1)
+                value = np.where(self.features[at] == f, self.weights[at], 0.0).sum(0)
+            z = self.bias + np.bincount(row, value[word], hi - lo)
+            out.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(confirmed: list[str], unlabelled: list[str], prior: float, steps: int = 250, rate: float = 0.1, decay: float = 2e-3, beta: float = 0.0, gamma: float = 1.0) -> Model:
-    """Non-negative risk with the logistic loss, by Adam over the whole sample. Without a confirmed text, all score below one half."""
-    rows, hashes, base = [], [], 0
+def _table(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) for each distinct word of each text and each of its features."""
+    rows, found = [], []
+    for lo, _, row, word, f in distinct_words(pa.array(texts, pa.large_string())):
+        for k in range(len(f)):
+            rows.append(row + lo)
+            found.append(f[k][word])
+    return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def train(confirmed: list[str], unlabelled: list[str], prior: float, steps: int = 300, rate: float = 0.05, decay: float = 3e-4, beta: float = 0.0, gamma: float = 1.0) -> Model:
+    """Non-negative risk with the logistic loss, by Adam over the whole sample.
+
+    Features that confirmed texts have no more often than unlabelled ones say nothing of the positives and are left out. Without a
+    confirmed text, all score below one half.
+    """
     texts = [*confirmed, *unlabelled]
-    for lo, _, r, w in features(pa.array(texts, pa.large_string())):
-        rows.append(r + lo + base)
-        hashes.append(w)
-    row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    word = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    u, inverse, counts = np.unique(word, return_inverse=True, return_counts=True)
-    keep = counts >= LEAST_TEXTS
+    n, is_p = len(texts), np.arange(len(texts)) < len(confirmed)
+    row, feature = _table(texts)
+    u, inverse = np.unique(feature, return_inverse=True)
+    once = np.unique(inverse * max(1, n) + row)
+    in_p, in_u = (np.bincount(once[m] // n, minlength=len(u)) for m in (is_p[once % n], ~is_p[once % n])) if n else (np.zeros(0), np.zeros(0))
+    keep = (in_p >= max(LEAST_TEXTS, 0.01 * len(confirmed))) & (in_p / max(1, len(confirmed)) >= LIFT * in_u / max(1, len(unlabelled)))
     if not confirmed or not unlabelled or not keep.any():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -2.0)
     new = np.cumsum(keep) - 1
     use = keep[inverse]
-    row, col, n, m = row[use], new[inverse[use]], len(texts), int(keep.sum())
-    is_p = np.arange(n) < len(confirmed)
+    row, col, m = row[use], new[inverse[use]], int(keep.sum())
     share_p, share_u = is_p / is_p.sum(), ~is_p / (~is_p).sum()
     w, b = np.zeros(m), np.log(prior / (1 - prior))
     first, second = np.zeros(m + 1), np.zeros(m + 1)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for k in range(1, steps + 1):
         f = np.bincount(row, w[col], n) + b
-        up = np.logaddexp(0, f)  # loss as a negative
+        up = np.logaddexp(0, f)  # the loss as a negative
         negative = share_u @ up - prior * (share_p @ up)
-        s = sigmoid(f)
+        s = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
         g_negative = (share_u - prior * share_p) * s
         g = g_negative - prior * share_p * (1 - s) if negative >= -beta else -gamma * g_negative
-        grad = np.append(np.bincount(col, g[row], m) + decay * w * (1 / np.sqrt(m)), g.sum())
+        grad = np.append(np.bincount(col, g[row], m) + decay * w, g.sum())
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         step = rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
