@@ -27,8 +27,8 @@ WIDTH, SIMILARITY = 5, 0.8
 DEPTH, PICKS, RECALL = 3, 1.4, 0.997
 #: Minimal hashes in a sketch, and how much below the threshold an estimate may be: four deviations.
 SKETCH = 64
-#: Members of a leaf or a candidate group that one task compares; more are dealt over pairs of blocks.
-BLOCK = 256
+#: Members of a candidate group (by their sets) and of a leaf (by their sketches) that one task compares; more are dealt over pairs of blocks.
+BLOCK, LEAF_BLOCK = 256, 256
 #: So many candidates are broadcast, at 16 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -109,9 +109,9 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def dealt(rows: DataFrame, key: str, count: str, id_column: str) -> DataFrame:
-    """Rows of a key with `part` and `other`: small groups as one part, large ones over all pairs of blocks of about BLOCK rows."""
-    blocks = F.when(F.col(count) <= 2 * BLOCK, F.lit(1)).otherwise(F.ceil(F.col(count) / BLOCK)).cast("int")
+def dealt(rows: DataFrame, count: str, id_column: str, block: int) -> DataFrame:
+    """Rows of groups of a count with `part` and `other`: small groups as one part, large ones over all pairs of blocks of about block rows."""
+    blocks = F.when(F.col(count) <= 2 * block, F.lit(1)).otherwise(F.ceil(F.col(count) / block)).cast("int")
     own = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64(id_column), F.col("_blocks")).cast("int"))
     return own.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(*rows.columns, F.least("_own", "_with").alias("part"), F.greatest("_own", "_with").alias("other"), F.col("_own").alias("own"))
 
@@ -140,9 +140,10 @@ def grouped(it: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 def candidates(sets: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) between sets whose sketches are alike in a shared leaf, as many as span them."""
-    spots = sets.select("rep", "sketch", F.explode("paths").alias("path"))
+    spots = sets.select("rep", F.explode("paths").alias("path"))
     sizes = spots.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-    rows = dealt(spots.join(sizes, "path").select("path", "n", "rep", "sketch"), "path", "n", "rep").select("path", "part", "other", "own", "rep", "sketch")
+    shared = spots.join(sizes, "path").select("path", "n", "rep")  # few leaves are shared: sketches come after
+    rows = dealt(shared.join(sets.select("rep", "sketch"), "rep"), "n", "rep", LEAF_BLOCK).select("path", "part", "other", "own", "rep", "sketch")
     least = SKETCH * similarity - 4 * math.sqrt(SKETCH * similarity * (1 - similarity))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +203,7 @@ def verified(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame
     """
     few = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
     body = texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").withColumnRenamed("doc_id", "rep")
-    placed = dealt(body.join(few, "rep"), "root", "n", "rep").select("root", "part", "other", "rep", "own", "copies", "d1", "text").repartition("root", "part", "other").sortWithinPartitions("root", "part", "other", "rep", "text")
+    placed = dealt(body.join(few, "rep"), "n", "rep", BLOCK).select("root", "part", "other", "rep", "own", "copies", "d1", "text").repartition("root", "part", "other").sortWithinPartitions("root", "part", "other", "rep", "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(it, 3):
