@@ -28,7 +28,7 @@ DEPTH, PICKS, RECALL = 3, 1.4, 0.997
 #: Minimal hashes in a sketch, and how much below the threshold an estimate may be: four deviations.
 SKETCH = 64
 #: Members of a candidate group (by their sets) and of a leaf (by their sketches) that one task compares; more are dealt over pairs of blocks.
-BLOCK, LEAF_BLOCK = 256, 256
+BLOCK, LEAF_BLOCK = 256, 1024
 #: So many candidates are broadcast, at 16 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
