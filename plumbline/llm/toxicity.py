@@ -105,7 +105,8 @@ def train(confirmed: list[str], unlabelled: list[str], prior: float, steps: int
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         step = rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        # a text without any of the features is no likelier toxic than the prior says
+        w, b = w - step[:-1], min(b - step[-1], np.log(min(prior, 0.4) / (1 - min(prior, 0.4))))
     return Model(u[keep], w, float(b))
 
 

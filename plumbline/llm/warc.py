@@ -19,7 +19,7 @@ def canonical_url(url: Column) -> Column:
     """Without scheme, user, www, default port, fragment, tracking parameters and last slash; host in lower case, parameters sorted."""
     whole = F.regexp_replace(F.trim(url), "#.*$", "")
     rest = F.regexp_replace(whole, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?]*@)?", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_substr(rest, F.lit(r"^[^/?]*"))), r":(?:80|443)$", ""), r"^www\d*\.", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(rest, r"^[^/?]*", 0)), r":(?:80|443)$", ""), r"^www\d*\.", "")
     path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), "/+$", "")
     query = F.array_sort(F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(p).rlike("^(?:utm_[a-z]+|gclid|fbclid|ref)(?:=|$)")))
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(F.lit("")))
