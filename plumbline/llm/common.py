@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import contextlib
 import os
-import shutil
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text is cut into slices of about so many bytes before numpy works on it, so that memory does not follow the batch.
@@ -23,10 +22,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder named in spark.checkpoint.dir; a local one only where that is unset."""
+    """A new path below the shared folder named in spark.checkpoint.dir.
+
+    Where that is unset: the warehouse on a cluster, and a temporary folder if driver and executors are one process.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(tempfile.gettempdir(), "plumbline-scratch")
+        alone = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+        root = os.path.join(tempfile.gettempdir(), "plumbline-scratch") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -38,8 +41,9 @@ def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, df: DataFrame) -> None:
+def drop_written(df: DataFrame) -> None:
     """Deletes the files of a written table that nothing reads any more."""
+    spark = df.sparkSession
     for f in df.inputFiles()[:1]:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -80,16 +84,8 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def batches(it: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
-
-
-@contextlib.contextmanager
-def temporary_dir() -> Iterator[str]:
-    d = tempfile.mkdtemp()
-    try:
-        yield d
-    finally:
-        shutil.rmtree(d, ignore_errors=True)
+def picked(hashed: DataFrame, by: str, many: int) -> DataFrame | None:
+    """About many distinct rows by the hash in column by, picked in 64 parts; small enough to be broadcast. None without rows."""
+    part = Window.partitionBy(F.pmod(by, F.lit(64))).orderBy(by, *hashed.columns)
+    rows = hashed.distinct().withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= -(-many // 64)).drop("_r").collect()
+    return F.broadcast(hashed.sparkSession.createDataFrame(rows, hashed.schema)) if rows else None

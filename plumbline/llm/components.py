@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 ROUNDS = 40
 
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("v <> u").distinct()
         small = large.groupBy("v").agg(F.min("u").alias("m"))
         step = large.join(small, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(small.select("v", F.col("m").alias("u")))
-        now = written(step.where("v <> u").distinct(), "edges")
+        now, before = written(step.where("v <> u").distinct(), "edges"), now
+        drop_written(before)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             break

@@ -128,7 +128,7 @@ def likeness(a: tuple[int, int, np.ndarray], b: tuple[int, int, np.ndarray]) ->
     if not len(a[2]) or not len(b[2]):
         return 0.0
     union = np.union1d(a[2], b[2])[:KEPT]  # the least of both texts' windows
-    j = np.isin(union, a[2]).__and__(np.isin(union, b[2])).mean()
+    j = (np.isin(union, a[2]) & np.isin(union, b[2])).mean()
     return float(2 * j / (1 + j))
 
 

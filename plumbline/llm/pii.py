@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings, texts
+from .common import picked, strings, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. A run of digits is entered at its start alone, which changes no match.
@@ -347,9 +347,7 @@ def find_spans(net: Net, some: list[str]) -> list[tuple[list, list]]:
 def sample(docs: DataFrame, many: int = SAMPLE_TEXTS) -> list[str]:
     """About many texts that hold a trigger, by their hash, each as a window of 2000 code points around one."""
     rows = docs.select("text").where("text rlike '[0-9@]'").select("text", F.xxhash64("text").alias("_h"))
-    from .toxicity import _picked
-
-    few = _picked(rows.select("_h"), "_h", many)
+    few = picked(rows.select("_h"), "_h", many)
     if few is None:
         return []
     found = rows.join(few, "_h").groupBy("_h").agg(F.min("text").alias("text"))

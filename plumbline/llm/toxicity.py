@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_text, slices
+from .common import crc32_text, picked, slices
 from .textbytes import LETTER, lowered, span_hashes, words
 
 #: The training sample: so many confirmed and so many unlabelled texts, and so many code points of each, from a place given by a hash.
@@ -114,13 +114,6 @@ def _window(chars: int, by: str) -> Column:
     return F.expr(f"substring(text, cast(1 + pmod({by}, greatest(1, length(text) - {chars} + 1)) as int), {chars})").alias("text")
 
 
-def _picked(hashed: DataFrame, by: str, many: int) -> DataFrame | None:
-    """About many distinct rows by the hash in column by, picked in 64 parts; small enough to be broadcast."""
-    part = Window.partitionBy(F.pmod(by, F.lit(64))).orderBy(by, *hashed.columns)
-    rows = hashed.distinct().withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= -(-many // 64)).drop("_r").collect()
-    return F.broadcast(hashed.sparkSession.createDataFrame(rows, hashed.schema)) if rows else None
-
-
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     """Learns from the labels of rows whose crc32(doc_id) mod folds is not 0, and from the texts of such rows."""
     inside = F.pmod(crc32_text("doc_id"), F.lit(folds)) != 0
@@ -130,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
         return train([], [], 0.1)
     prior = min(0.95, max(0.005, counts["p"] / counts["n"]))
     rows = docs.where(inside).where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("_h"))
-    toxic = _picked(own.where("toxic = 1").select("doc_id", F.xxhash64("doc_id").alias("_d")), "_d", CONFIRMED)
-    some = _picked(rows.select("_h"), "_h", UNLABELLED)
+    toxic = picked(own.where("toxic = 1").select("doc_id", F.xxhash64("doc_id").alias("_d")), "_d", CONFIRMED)
+    some = picked(rows.select("_h"), "_h", UNLABELLED)
     if some is None:
         return train([], [], 0.1)
     confirmed = rows.join(toxic, "doc_id").groupBy("_h").agg(F.min("text").alias("text")).select(_window(SAMPLE_CHARS, "_h"))
