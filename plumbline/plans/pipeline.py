@@ -108,6 +108,14 @@ class Workflow:
     def _csv(self, mon: Image, ref: Image) -> str:
         return str(self.out / f"KLT_matcher_{mon.name}_{ref.name}.csv")
 
+    def _sink(self, df: DataFrame, grid: Image, name: str, kind: str, nodata: float | None) -> None:
+        """A table of pixels as a raster on an image's grid; the values keep their type."""
+        w = df.coalesce(1).write.format("geotiff").mode("append").option("width", grid.width).option("height", grid.height).option("dtype", kind)
+        gt, epsg = grid.header.gt, grid.header.epsg
+        for k, v in (("gt", ",".join(map(str, gt)) if gt else None), ("epsg", epsg), ("nodata", nodata)):
+            w = w.option(k, v) if v is not None else w
+        w.save(str(self.out / name))
+
     def match(self, monitored: str, reference: str, mask: str | None = None, vector: str | None = None, resume: bool = False) -> Match:
         """Key points of a pair. resume takes those of an earlier run's file if it is there."""
         mon, ref = Image.open(self.spark, monitored), Image.open(self.spark, reference)
@@ -122,7 +130,9 @@ class Workflow:
             got = keypoints.thresholded_offsets(o.select(F.col("row_off").cast("double"), F.col("col_off").cast("double")), self.processing.shift.bias_correction_min_threshold).first()
             if got["applied"]:
                 shift = (got["col_off"], got["row_off"])
-                pairs = raster.zipped(ref.pixels, raster.shifted(mon.pixels, int(shift[0]), int(shift[1])))
+                moved = raster.shifted(mon.pixels, int(shift[0]), int(shift[1]))
+                self._sink(moved, mon, f"{mon.name}_shifted.tif", mon.header.dtype.newbyteorder("=").name, mon.header.nodata)
+                pairs = raster.zipped(ref.pixels, moved)
         path = self._csv(mon, ref)
         if not (resume and Path(path).exists()):
             kp = matching.match(pairs, mon.width, mon.height, klt.settings(), m, ref.header.nodata, mon.header.nodata)
@@ -159,10 +169,7 @@ class Workflow:
         gt, epsg = ref.header.gt, ref.header.epsg
 
         def sink(df: DataFrame, name: str, kind: str, nodata: float | None) -> None:
-            w = df.coalesce(1).write.format("geotiff").mode("append").option("width", ref.width).option("height", ref.height).option("dtype", kind)
-            for k, v in (("gt", ",".join(map(str, gt)) if gt else None), ("epsg", epsg), ("nodata", nodata)):
-                w = w.option(k, v) if v is not None else w
-            w.save(str(self.out / name))
+            self._sink(df, ref, name, kind, nodata)
             out.append(name)
 
         if r.gen_kp_mask:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import struct
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,35 @@ def read_chips(spark: SparkSession, path: str) -> DataFrame:
     return best.select("x", "y", "r.*")
 
 
+#: Shape types of polygons, plain and with further coordinates.
+POLYGONS = (5, 15, 25)
+
+
+def _shapes(path: str) -> list[list[tuple[float, float]]]:
+    """Rings of the polygons of a shapefile."""
+    out = []
+    try:
+        raw = Path(path).read_bytes()
+        at = 100
+        while at < len(raw):
+            size = 2 * struct.unpack(">I", raw[at + 4 : at + 8])[0]
+            body, at = raw[at + 8 : at + 8 + size], at + 8 + size
+            if struct.unpack("<I", body[:4])[0] in POLYGONS:
+                parts, points = struct.unpack("<II", body[36:44])
+                start = [*struct.unpack(f"<{parts}I", body[44 : 44 + 4 * parts]), points]
+                xy = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
+                out += [[(xy[2 * k], xy[2 * k + 1]) for k in range(a, b - 1)] for a, b in zip(start[:-1], start[1:], strict=True)]
+    except (OSError, struct.error) as e:
+        raise RasterError(f"cannot read {path}: {e}") from e
+    if not out:
+        raise RasterError(f"no polygon in {path}")
+    return out
+
+
 def rings(path: str) -> list[list[tuple[float, float]]]:
-    """Outer rings of the polygons of a GeoJSON layer."""
+    """Rings of the polygons of a vector layer: the outer ones of GeoJSON, all of a shapefile."""
+    if str(path).lower().endswith(".shp"):
+        return _shapes(path)
     try:
         d = json.loads(Path(path).read_text(encoding="utf-8"))
     except (OSError, ValueError) as e:

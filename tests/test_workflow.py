@@ -1,4 +1,5 @@
 import json
+import struct
 
 import numpy as np
 import pytest
@@ -95,6 +96,8 @@ def test_large_shift(spark, conf, tmp_path):
     flow = pipeline.Workflow(spark, conf, RuntimeConfiguration(tmp_path / "o", enable_large_shift_detection=True))
     kp = flow.match(str(tmp_path / "m.tif"), str(tmp_path / "r.tif")).key_points.toPandas()
     assert abs(kp["dx"].median() + 25) < 0.2 and abs(kp["dy"].median() - 30) < 0.2
+    moved = geotiff.Header.read(geotiff.files(str(tmp_path / "o" / "m_shifted.tif"))[0])
+    assert moved.dtype == np.uint16 and (moved.window(1, 30, 40, 60, 60) == ref[40:100, 30:90]).all()
     assert kp["radial_error"].median() < 1 and kp["zncc_score"].isna().all()
 
 
@@ -155,6 +158,16 @@ def test_stream_of_pairs(spark, tmp_path):
     assert sorted(seen) == ["1", "2"]
 
 
+def test_shapefile(tmp_path):
+    ring = [(1.0, 2.0), (5.0, 2.0), (5.0, 6.0), (1.0, 2.0)]
+    body = struct.pack("<I4dII", 5, 1, 2, 5, 6, 1, len(ring)) + struct.pack("<I", 0) + b"".join(struct.pack("<2d", *p) for p in ring)
+    (tmp_path / "a.shp").write_bytes(b"\0" * 100 + struct.pack(">II", 1, len(body) // 2) + body)
+    assert tables.rings(str(tmp_path / "a.shp")) == [ring[:-1]]
+    (tmp_path / "b.shp").write_bytes(b"\0" * 100)
+    with pytest.raises(RasterError):
+        tables.rings(str(tmp_path / "b.shp"))
+
+
 def test_broken_vector_layer(tmp_path):
     (tmp_path / "x.geojson").write_text("no json")
     with pytest.raises(RasterError):
