@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +91,29 @@ def picked(hashed: DataFrame, by: str, many: int) -> DataFrame | None:
     part = Window.partitionBy(F.pmod(by, F.lit(64))).orderBy(by, *hashed.columns)
     rows = hashed.distinct().withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= -(-many // 64)).drop("_r").collect()
     return F.broadcast(hashed.sparkSession.createDataFrame(rows, hashed.schema)) if rows else None
+
+
+def release() -> None:
+    """Gives memory that is free inside this process back to the system: workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1024) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task body that gets its input in small batches and leaves no free memory behind."""
+
+    def small(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for k in range(0, b.num_rows, rows):
+                yield b.slice(k, rows)
+
+    def go(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(small(it))
+        finally:
+            release()
+
+    return go

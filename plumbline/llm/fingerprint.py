@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import task
+
 #: Two primes below 2^31, and a base for each.
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
@@ -164,7 +166,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
             take = np.concatenate([np.arange(len(key)), again])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([part, to]), pa.int32()), pa.array(np.repeat([0, 1], [len(key), len(again)]), pa.int32()), pa.array(key[take]), b.column(1).take(pa.array(take)), pa.array([tie[i] for i in take], pa.int64()), pa.array([body[i] for i in take], pa.binary())], names=["part", "halo", "key", "doc_id", "tie", "body"])
 
-    dealt = rows.mapInArrow(deal, "part int, halo int, key long, doc_id long, tie long, body binary")
+    dealt = rows.mapInArrow(task(deal), "part int, halo int, key long, doc_id long, tie long, body binary")
     ordered = dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "halo", F.desc("key"), "tie")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,4 +199,4 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
         sha = hashlib.sha256(edited.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest()
         return doc_id, len(points), sha, text_form(f), text_form(e), likeness(f, e), likeness(f, g)
 
-    return ordered.mapInArrow(run, FINGERPRINTS)
+    return ordered.mapInArrow(task(run), FINGERPRINTS)

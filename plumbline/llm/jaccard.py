@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, written
+from .common import slices, task, texts, written
 from .components import components
 from .textbytes import WHITE, mix, shingles, span_hashes, words
 
@@ -91,7 +91,7 @@ def members(docs: DataFrame, similarity: float) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *[pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[f.split(" ")[0] for f in MEMBERS.split(", ")])
 
-    return texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(run, MEMBERS)
+    return texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(task(run), MEMBERS)
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -169,7 +169,7 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     placed = rows.repartition("path", "part", "other").sortWithinPartitions("path", "part", "other")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    return placed.mapInArrow(task(run), "a long, b long").distinct()
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -232,7 +232,7 @@ def verified(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame
             root = _roots(len(rep), x, y)
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(rep[root]), pa.array(links.astype(np.int64))], names=["rep", "to", "links"])
 
-    return placed.mapInArrow(run, "rep long, to long, links long")
+    return placed.mapInArrow(task(run), "rep long, to long, links long")
 
 
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

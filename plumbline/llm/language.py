@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, task
 from .textbytes import ASCII_LETTER, LETTER, lowered, mix, span_hashes, words
 
 #: The training sample: so many texts of each language, and so many code points of each, from a place given by a hash.
@@ -260,7 +260,7 @@ def identify(docs: DataFrame, learn_from: str = LEARN_FROM) -> DataFrame:
             names, scores = score_texts(sent.value, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, PREDICTED)
+    return rows.mapInArrow(task(run), PREDICTED)
 
 
 def with_language(docs: DataFrame, least: float = 0.5, learn_from: str = LEARN_FROM) -> DataFrame:
@@ -273,4 +273,4 @@ def with_language(docs: DataFrame, least: float = 0.5, learn_from: str = LEARN_F
             names, scores = score_texts(sent.value, b.column(at))
             yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task(run), docs.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import strings, texts, written
+from .common import strings, task, texts, written
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -113,7 +113,7 @@ def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[s
 
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    return texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(task(run), PIECES + ", ids binary" * with_ids)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:

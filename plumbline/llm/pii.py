@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, strings, texts
+from .common import picked, strings, task, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. A run of digits is entered at its start alone, which changes no match.
@@ -380,7 +380,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string()] * 2, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[f.split(" ")[0] for f in FOUND.split(", ")])
 
-    return texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(run, FOUND)
+    return texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(task(run), FOUND)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -408,4 +408,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[size] = pa.array([c if t is None or t == g else len(t) for t, g, c in zip(new, given, b.column(size).to_pylist(), strict=True)], b.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task(run), docs.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_text, picked, slices
+from .common import crc32_text, picked, slices, task
 from .textbytes import LETTER, lowered, span_hashes, words
 
 #: The training sample: so many confirmed and so many unlabelled texts, and so many code points of each, from a place given by a hash.
@@ -148,4 +148,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFr
             s = m.scores(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, SCORED)
+    return rows.mapInArrow(task(run), SCORED)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings, texts
+from .common import strings, task, texts
 
 #: The words of the vocabulary's pre-tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -324,4 +324,4 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 lo = hi
 
-    return texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(run, ENCODED)
+    return texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(task(run), ENCODED)
