@@ -63,7 +63,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     Texts are equal when they are without white space; a null text is empty, so empty, null and blank texts are one
     group. Equal texts of one length tie by the smallest doc_id; rows that repeat the id of the row that stays are all
-    marked kept, and each counts in group_size. An empty table gives an empty one; other columns are not read.
+    marked kept, and each counts in group_size. A row without an id ties before all others. An empty table gives an empty one; other columns are not read.
     """
     runs = flush(docs)
     index = written(compact(runs), "index", **RUN_OPTIONS)
@@ -71,7 +71,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     hits = found.where("group_size > 1")
     if (bad := differing(docs, hits).collect()):  # as good as never: two texts with one digest
         found = regrouped(docs, found, [bytes(r["digest"]) for r in bad])
-    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def regrouped(docs: DataFrame, found: DataFrame, digests: list[bytes]) -> DataFrame:

@@ -27,6 +27,11 @@ def test_empty_table_and_clashing_columns(spark):
     assert {(r["doc_id"], r["keep_id"]) for r in exact.exact_dedup(df).collect()} == {(1, 2), (2, 2)}
 
 
+def test_rows_without_an_id(spark):
+    got = exact.exact_dedup(spark.createDataFrame([(None, "a b"), (1, "ab"), (2, "a b"), (3, "c")], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in got} == {(None, None, True), (1, None, False), (2, None, False), (3, 3, True)}
+
+
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_verification_by_broadcast_and_by_shuffle(spark, monkeypatch, limit):
     monkeypatch.setattr(exact, "BROADCAST_HITS", limit)
