@@ -36,8 +36,11 @@ MEMBERS = "doc_id long, d1 long, d2 long, size int, sketch binary, paths array<l
 
 
 def runs_for(similarity: float, recall: float = RECALL, depth: int = DEPTH, picks: float = PICKS) -> int:
-    """Runs after which two sets of that similarity share a leaf with probability recall at least."""
-    shared = picks * 2 * similarity / (1 + similarity)  # shingles both pick at a node, on average
+    """Runs after which two sets of that similarity share a leaf with probability recall at least, whatever their sizes.
+
+    Both pick a shared shingle below the limit of the larger set. Least of it is shared where one set holds the other.
+    """
+    shared = picks * similarity  # shingles both pick at a node, on average
     q = 1.0
     for _ in range(depth):
         q = 1 - math.exp(-shared * q)

@@ -89,6 +89,18 @@ def test_recall_of_one_run():
     assert hit >= 146
 
 
+def test_recall_of_a_set_within_another():
+    """Of all pairs just similar enough, sets of unequal size share leaves least often."""
+    rng = np.random.default_rng(5)
+    hit, n = 0, 3000
+    for k in range(n):
+        b = np.unique(jaccard.mix(rng.integers(0, 1 << 62, 200).astype(np.uint64)))
+        a = np.sort(rng.permutation(b)[:160])
+        seed = jaccard.mix(np.array([k + 1], np.uint64))
+        hit += len(np.intersect1d(jaccard.leaves(a, seed), jaccard.leaves(b, seed))) > 0
+    assert 1 - (1 - hit / n) ** jaccard.runs_for(0.8) > 0.995
+
+
 def test_overlaps_by_brute_force():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 6000, rng.integers(1, 4000)).astype(np.uint64)) for _ in range(12)]
