@@ -263,14 +263,14 @@ def identify(docs: DataFrame, learn_from: str = LEARN_FROM) -> DataFrame:
     return rows.mapInArrow(task(run), PREDICTED)
 
 
-def with_language(docs: DataFrame, least: float = 0.5, learn_from: str = LEARN_FROM) -> DataFrame:
-    """The rows of docs, whole, whose text has a language with a score of least or more."""
+def with_language(docs: DataFrame, learn_from: str = LEARN_FROM) -> DataFrame:
+    """The rows of docs, whole, whose text has a language, be it one of several in the text."""
     sent = docs.sparkSession.sparkContext.broadcast(train(sample(docs, learn_from)))
     at = docs.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            names, scores = score_texts(sent.value, b.column(at))
-            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            names, _ = score_texts(sent.value, b.column(at))
+            yield b.filter(pa.array([n != "und" for n in names], pa.bool_()))
 
     return docs.mapInArrow(task(run), docs.schema)

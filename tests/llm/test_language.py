@@ -71,6 +71,16 @@ def test_odd_rows(spark, data):
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def test_filter_keeps_a_text_of_three_languages(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    langs = [r["lang"] for r in docs.where("lang is not null and length(text) > 400").select("lang").distinct().orderBy("lang").limit(3).collect()]
+    part = lambda lang: " ".join(docs.where(f"lang = '{lang}' and length(text) > 400").orderBy("doc_id").first()["text"].split()[:30])
+    own = spark.createDataFrame([(10**7, " ".join(map(part, langs)))], "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) as lang", "'s' as source", "cast(0 as bigint) as n_chars")
+    more = docs.unionByName(own.selectExpr(*[f"cast({f.name} as {f.dataType.simpleString()}) as {f.name}" for f in docs.schema]))
+    assert len(langs) == 3 and language.identify(more).where("doc_id = 10000000").first()["score"] < 0.5
+    assert language.with_language(more).where("doc_id = 10000000").count() == 1
+
+
 def test_filter_keeps_whole_rows(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     more = docs.unionByName(docs.limit(1).selectExpr("cast(10000000 as bigint) as doc_id", "'12 !' as text", "lang", "source", "n_chars"))
