@@ -2,7 +2,7 @@
 
 Arrays of prefix hashes modulo two primes answer the equality of any two spans at once, and binary search on them finds
 the longest common extension of two places. A fingerprint is the hash of the whole text and the least hashes of its
-windows; two fingerprints are as alike as the windows they share.
+windows; two fingerprints are as alike as the windows they share. Texts at hand are compared by all their windows.
 """
 
 from __future__ import annotations
@@ -48,6 +48,7 @@ class PrefixHash:
     def __init__(self, points: np.ndarray):
         self.n = len(points)
         self.prefix = []
+        self.sets: dict[int, np.ndarray] = {}
         c = points.astype(np.uint64) + np.uint64(1)
         for k, p in enumerate(PRIMES):
             h = np.zeros(self.n + 1, np.uint64)
@@ -70,6 +71,12 @@ class PrefixHash:
             out = (out << np.uint64(31)) | ((h[width:] + q - h[:m]) % q * _power(2 + k, m) % q)
         return out
 
+    def distinct(self, width: int) -> np.ndarray:
+        """The distinct hashes of all spans of a width, in order."""
+        if width not in self.sets:
+            self.sets[width] = np.unique(self.windows(width))
+        return self.sets[width]
+
     def span(self, start: int, end: int) -> int:
         return int(self.spans(np.array([start]), np.array([end]))[0])
 
@@ -105,13 +112,13 @@ def least(h: np.ndarray, kept: int) -> np.ndarray:
         part *= 8
 
 
-def fingerprint(points: np.ndarray) -> tuple[int, int, np.ndarray]:
+def fingerprint(points: np.ndarray, h: PrefixHash | None = None) -> tuple[int, int, np.ndarray]:
     """Length, hash of the whole, and least window hashes. A text shorter than a window is one window; an empty one has none."""
-    h = PrefixHash(points)
+    h = h or PrefixHash(points)
     if not h.n:
         return 0, 0, np.zeros(0, np.uint64)
     whole = h.span(0, h.n)
-    return h.n, whole, least(_spread(h.windows(WINDOW) if h.n >= WINDOW else np.array([whole], np.uint64)), KEPT)
+    return h.n, whole, least(_spread(h.distinct(WINDOW) if h.n >= WINDOW else np.array([whole], np.uint64)), KEPT)
 
 
 def text_form(f: tuple[int, int, np.ndarray]) -> str:
@@ -134,10 +141,23 @@ def likeness(a: tuple[int, int, np.ndarray], b: tuple[int, int, np.ndarray]) ->
     return float(2 * j / (1 + j))
 
 
+def common(a: PrefixHash, b: PrefixHash, width: int = WINDOW) -> float:
+    """The share of windows that two texts have in common, out of both texts' (Dice), by all windows."""
+    if a.n == b.n and a.span(0, a.n) == b.span(0, b.n):
+        return 1.0
+    if min(a.n, b.n) < width:
+        return 0.0
+    u, v = a.distinct(width), b.distinct(width)
+    shared = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+    return 2 * shared / (len(u) + len(v))
+
+
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text): the fingerprint of the text and of its edited text.
 
-    The edited text has its last third replaced by as much of the start of the next document by descending doc_id. A
+    The edited text has its last third replaced by as much of the start of the next document by descending doc_id.
+    near_edited and near_next are the shares of windows in common with the edited and the next text, by all windows; for
+    near_edited, windows are half as wide as the shorter text where that is less, so that each has some that are kept. A
     null text is empty; rows of one id follow each other by a hash of their texts; rows without an id come last. Rows
     are dealt by ranges of doc_id, their texts compressed, and the first row of each range goes to the range before
     too, so that each text moves once. An empty table gives an empty one; other columns are not read.
@@ -181,10 +201,10 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
                 if over == part:
                     continue
                 points = code_points(unpack(body).decode("utf-8", "surrogatepass"))
-                f = fingerprint(points)
+                h = PrefixHash(points)
                 if last is not None:
-                    out.append(one(*last, points, f))
-                last = None if halo else (doc_id, points, f)
+                    out.append(one(*last, points, h))
+                last = None if halo else (doc_id, points, h)
                 over = part if halo else None
                 if len(out) >= 1024:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -192,11 +212,12 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    def one(doc_id: int, points: np.ndarray, f: tuple, follow: np.ndarray, g: tuple) -> tuple:
+    def one(doc_id: int, points: np.ndarray, h: PrefixHash, follow: np.ndarray, g: PrefixHash) -> tuple:
         cut = len(points) // 3
         edited = np.concatenate([points[: len(points) - cut], follow[:cut]])
-        e = fingerprint(edited)
+        e = PrefixHash(edited)
+        width = max(1, min(WINDOW, h.n // 2, e.n // 2))
         sha = hashlib.sha256(edited.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest()
-        return doc_id, len(points), sha, text_form(f), text_form(e), likeness(f, e), likeness(f, g)
+        return doc_id, len(points), sha, text_form(fingerprint(points, h)), text_form(fingerprint(edited, e)), common(h, e, width), common(h, g)
 
     return ordered.mapInArrow(task(run), FINGERPRINTS)

@@ -73,6 +73,28 @@ def test_edited_texts_by_brute_force(spark, parts):
         assert got[i]["near_next"] == fp.likeness(fp.fingerprint(points(t)), fp.fingerprint(points(follow)))
 
 
+def dice(a, b, width):
+    x, y = ({t[k : k + width] for k in range(len(t) - width + 1)} for t in (a, b))
+    return 2 * len(x & y) / (len(x) + len(y))
+
+
+def test_overlaps_of_long_and_of_short_texts(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = text(300)
+    rows = [(100 - k, text(5000) + passage + text(700)) for k in range(8)] + [(k, text(n)) for k, n in enumerate([47, 34, 30, 24, 23, 12, 4, 3])]
+    got = {r["doc_id"]: r for r in fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()}
+    rows.sort(reverse=True)
+    for k, (i, t) in enumerate(rows):
+        follow = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 3] + follow[: len(t) // 3]
+        width = min(24, len(t) // 2, len(edited) // 2)
+        assert got[i]["near_edited"] == pytest.approx(dice(t, edited, width)) and got[i]["near_edited"] > 0
+        if len(t) >= 24 and len(follow) >= 24:
+            assert got[i]["near_next"] == pytest.approx(dice(t, follow, 24))
+    assert all(got[k]["near_next"] > 0.04 for k in range(94, 101))
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string"
     assert fp.fingerprints(spark.createDataFrame([], schema)).count() == 0
