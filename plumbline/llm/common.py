@@ -5,10 +5,12 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import pickle
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 #: Text is cut into slices of about so many bytes before numpy works on it, so that memory does not follow the batch.
 SLICE_BYTES = 1 << 20
+Model = TypeVar("Model")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,3 +120,14 @@ def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ro
             release()
 
     return go
+
+
+def fitted(rows: DataFrame, train: Callable[[list[tuple]], Model]) -> Model:
+    """What train makes of the rows in order, a bounded sample, in one task: the driver gets the model alone."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(r for b in it for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(got))], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(task(run), "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([])

@@ -1,8 +1,8 @@
 """Personal data by a character-level bidirectional LSTM with CRF transitions, in numpy.
 
 Base patterns give spans of their own and, with forms written in other ways, the labels to train from. The network reads
-overlapping windows around every digit and at-sign, which any span must hold; the windows' scores are blended into one
-chain for each region, and that is decoded as a whole.
+every text whole, in overlapping windows. The scores of overlapping windows are blended into one chain for the text; where
+no tag but the outside one can be on a best path the chain needs no decoding, and what is left is decoded as a whole.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, strings, task, texts
+from .common import fitted, picked, strings, task, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. A run of digits is entered at its start alone, which changes no match.
@@ -28,8 +28,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 TRIGGER = re.compile(r"[0-9@]")
-#: The training sample and the windows.
-SAMPLE_TEXTS, REACH, WIDTH, STRIDE = 384, 40, 96, 48
+#: The training sample; the windows, which overlap by WIDTH - STRIDE; places decoded beside an open one; windows scored at once.
+SAMPLE_TEXTS, WIDTH, STRIDE, REACH, BATCH = 384, 128, 96, 64, 512
 EMBED, HIDDEN = 12, 20
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -44,8 +44,8 @@ def luhn(digits: str) -> bool:
 
 
 def octets(text: str) -> bool:
-    parts = text.split(".")
-    return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+    parts = [p.lstrip("0") or "0" for p in text.split(".")]  # padded parts can be of any length
+    return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
 
 
 def _digits(text: str) -> str:
@@ -77,13 +77,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def classes(text: str) -> np.ndarray:
-    """Code points as classes: ASCII from 2 on, other letters 0, the rest 1."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(c < 128, c + 2, (c > 0x2FF).astype(np.uint32)).astype(np.int64)
+PAD, CLASSES = 1, 130
+_fold = np.arange(2, 130)
+_fold[ord("0") : ord("9") + 1] = ord("0") + 2
+_fold[ord("A") : ord("Z") + 1] = _fold[ord("a") : ord("z") + 1]
 
 
-CLASSES = 130
+def classes(text: str) -> np.ndarray:
+    """Code points as classes: ASCII from 2 on, digits and cases of a letter as one; other letters 0, the rest 1."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(c < 128, _fold[np.minimum(c, 127)], c > 0x2FF).astype(np.int64)
 
 
 @dataclass
@@ -194,37 +197,84 @@ def crf_step(net: Net, windows: np.ndarray, tags: np.ndarray) -> tuple[float, li
     return float((z - gold).mean()), [d_embed, dw_a, dw_b, d_out, (d_trans / n).astype(np.float32), d_start / n]
 
 
-#: Other ways to write a kind, as (pattern, replacement).
-OTHER_FORMS = ((("@", " (at) "), (".", " (dot) ")), (("@", " @ "),), (("@", "[at]"),), ((" ", "."),), ((" ", ""), ("(", ""), (")", "")))
+#: Other ways to write a kind, as (pattern, replacement), by kind.
+OTHER_FORMS = (
+    ((("@", " (at) "), (".", " (dot) ")), (("@", " (at) "),), (("@", " @ "),), (("@", "[at]"),), (("@", " [at] "), (".", " [dot] "))),
+    (((".", "[.]"),), ((".", " . "),), ((".", "[dot]"),)),
+    ((("-", " "),), ((" ", "."),), ((" ", "/"),)),
+    ((("+", ""),), (("+", "00"),), (("(", ""), (")", ""), (" ", ".")), (("+1 ", ""),), (("-", " "),)),
+)
+#: Numbers that are no personal data, 0 for any digit.
+PLAIN_NUMBERS = ("0000-00-00", "00:00:00", "0.0", "0.0.0", "000,000.00", "$00.00", "0000", "00000000", "00/00/0000", "000000", "#0000", "(0000)", "[00]", "0000-0000", "00%")
+
+
+def redrawn(body: str, rng: np.random.Generator, letters: bool = False) -> str:
+    """The body with other digits, and other letters if asked for: shapes are to be learned, not names and numbers."""
+    new = rng.integers(0, 10, len(body)).tolist(), rng.integers(97, 123, len(body)).tolist()
+    return "".join([str(d) if "0" <= c <= "9" else chr(a) if letters and "a" <= c <= "z" else c for c, d, a in zip(body, *new, strict=True)])
+
+
+def in_other_form(body: str, kind: int, rng: np.random.Generator) -> str:
+    if kind == 2 and body.isdigit():  # in groups first
+        body = " ".join([body[k : k + 4] for k in range(0, len(body), 4)])
+    for x, y in OTHER_FORMS[kind][int(rng.integers(len(OTHER_FORMS[kind])))]:
+        body = body.replace(x, y)
+    return body
+
+
+#: Words that may be data in another form.
+UNSURE = re.compile(r"\S*(?:[0-9@]|[\[(](?:at|dot)[\])])\S*")
+
+
+def doubtful(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Words with digits, at-signs and the like beside the spans: nobody says what they are, so nothing is learned from them."""
+    out, k = [], 0
+    for m in UNSURE.finditer(text):
+        while k < len(spans) and spans[k][2] <= m.start():
+            k += 1
+        if k == len(spans) or m.end() <= spans[k][0]:
+            out.append((m.start(), m.end()))
+    return out
 
 
 def training_set(some: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Windows around triggers with the tags of their spans; a part of the spans is written in another form."""
+    """Windows with the tags of their spans: around spans and plain numbers, and anywhere.
+
+    Digits of spans are redrawn, a part of the spans is written in another form, plain numbers are put between words, and
+    doubtful words go.
+    """
     xs, ys = [], []
     for text in some:
-        spans = []
+        spans: list[tuple[int, int, int]] = []
         for s in base_spans(text):  # a card may lie in another span, as digits of it
             if not spans or s[0] >= spans[-1][2]:
                 spans.append(s)
-        out, tags, at = [], [], 0
-        for a, kind, b in spans:
-            body = text[a:b]
-            if rng.random() < 0.3:
-                forms = OTHER_FORMS[:3] if kind == 0 else OTHER_FORMS[3:4] if kind == 2 else OTHER_FORMS[4:] if kind == 3 else ()
-                if forms:
-                    for x, y in forms[int(rng.integers(len(forms)))]:
-                        body = body.replace(x, y)
+        spans += [(a, -1, b) for a, b in doubtful(text, spans)]
+        spans += [(m.start(), -2, m.start()) for m in re.finditer(" ", text) if rng.random() < 0.01]
+        out, tags, at, centres = [], [], 0, []
+        for a, kind, b in sorted(spans):
+            if a < at:
+                continue
+            if kind == -2:
+                body, own = " " + redrawn(PLAIN_NUMBERS[int(rng.integers(len(PLAIN_NUMBERS)))], rng), 0
+            elif kind == -1:
+                body, own = "", 0
+            else:
+                body, own = redrawn(text[a:b], rng, kind == 0 and rng.random() < 0.5), 1 + 2 * kind
+                body = in_other_form(body, kind, rng) if rng.random() < 0.5 else body
             out.append(text[at:a] + body)
-            tags += [0] * (a - at) + [1 + 2 * kind] + [2 + 2 * kind] * (len(body) - 1)
+            tags += [0] * (a - at)
+            centres.append(len(tags))
+            tags += ([own] + [own + 1 if own else 0] * (len(body) - 1)) if body else []
             at = b
         out.append(text[at:])
         tags += [0] * (len(text) - at)
         new = "".join(out)
         c, t = classes(new), np.array(tags, np.int64)
-        centres = [m.start() for m in TRIGGER.finditer(new)]
-        for p in centres[:: max(1, len(centres) // 12)]:
-            lo = max(0, min(p - int(rng.integers(WIDTH)), len(new) - WIDTH))
-            x, y = np.full(WIDTH, 1), np.zeros(WIDTH, np.int64)
+        anywhere = rng.integers(0, max(1, len(new)), 3).tolist()
+        for p in [*centres[:: max(1, len(centres) // 12)], *anywhere]:
+            lo = max(0, min(p - int(rng.integers(WIDTH - 16)), len(new) - WIDTH))
+            x, y = np.full(WIDTH, PAD), np.zeros(WIDTH, np.int64)
             n = min(WIDTH, len(new) - lo)
             x[:n], y[:n] = c[lo : lo + n], t[lo : lo + n]
             xs.append(x)
@@ -232,11 +282,16 @@ def training_set(some: list[str], rng: np.random.Generator) -> tuple[np.ndarray,
     return np.array(xs, np.int64).reshape(-1, WIDTH), np.array(ys, np.int64).reshape(-1, WIDTH)
 
 
-def train(some: list[str], seed: int = 5, steps: int = 220, batch: int = 48, rate: float = 0.02) -> Net:
-    """A net from texts, by Adam; the labels are their base spans. Without a labelled text it tags nothing."""
+def train(some: list[str], seed: int = 5, steps: int = 500, batch: int = 64, rate: float = 0.02, windows: int = 2000, draws: int = 64) -> Net:
+    """A net from texts, each drawn in several forms, by Adam; the labels are their base spans. Without one it tags nothing."""
     rng = np.random.default_rng(seed)
     net = new_net(rng)
-    x, y = training_set(some, rng)
+    drawn = [training_set(some, rng)]
+    with_spans = sum((y > 0).any(1).sum() for _, y in drawn)
+    while with_spans and with_spans < windows and len(drawn) < draws:  # few texts are drawn in more forms
+        drawn.append(training_set(some, rng))
+        with_spans += (drawn[-1][1] > 0).any(1).sum()
+    x, y = (np.concatenate(p) for p in zip(*drawn, strict=True))
     if not (y > 0).any():
         net.out[:] = 0
         net.out[-1, 0] = 10
@@ -255,35 +310,122 @@ def train(some: list[str], seed: int = 5, steps: int = 220, batch: int = 48, rat
     return net
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Places around the triggers, merged where they meet."""
-    out: list[list[int]] = []
-    for m in re.finditer(r"[0-9@]+|[\[(]at[\])]", text):
-        lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = hi
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
-
-
-def blended(net: Net, chains: list[np.ndarray]) -> list[np.ndarray]:
-    """Tag scores of whole chains of classes: those of overlapping windows, weighted by the distance to the window's edge."""
-    at = [(k, lo) for k, c in enumerate(chains) for lo in range(0, max(1, len(c) - WIDTH + STRIDE), STRIDE)]
-    total, weight = [np.zeros((len(c), TAGS), np.float32) for c in chains], [np.zeros((len(c), 1), np.float32) for c in chains]
-    ramp = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float32)[:, None]
-    for some in range(0, len(at), 1024):
-        part = at[some : some + 1024]
-        x = np.full((len(part), WIDTH), 1)
-        for r, (k, lo) in enumerate(part):
-            own = chains[k][lo : lo + WIDTH]
-            x[r, : len(own)] = own
-        e, _ = scores(net, x)
-        for r, (k, lo) in enumerate(part):
-            n = min(WIDTH, len(chains[k]) - lo)
-            total[k][lo : lo + n] += e[:n, r] * ramp[:n]
-            weight[k][lo : lo + n] += ramp[:n]
-    return [t / w for t, w in zip(total, weight, strict=True)]
+class Reader:
+    """A net as tables for reading: for each direction the gates' inputs by class, and the weights of the state.
+
+    The sigmoid gates are halved beforehand, so that one tanh serves all four.
+    """
+
+    def __init__(self, net: Net):
+        self.net = net
+        half = np.repeat([0.5, 0.5, 0.5, 1.0], HIDDEN).astype(np.float32)
+        self.inputs, self.states = [], []
+        for w in net.gates:
+            table = (net.embed @ w[:EMBED] + w[-1]) * half
+            self.inputs.append(np.ascontiguousarray(table.reshape(CLASSES, 4, HIDDEN).transpose(1, 0, 2)))
+            self.states.append(np.ascontiguousarray((w[EMBED:-1] * half).reshape(HIDDEN, 4, HIDDEN).transpose(1, 0, 2)))
+        # the most that a tag can gain over the outside one by the transitions into it and out of it
+        own = net.trans - net.trans[0, 0]
+        self.gain = np.maximum(own[:, 1:].max(0), net.start[1:] - net.start[0]) + np.maximum(0, own[1:, 0])
+
+    def one_way(self, x: np.ndarray, k: int, out: np.ndarray) -> None:
+        """Hidden states of one direction: x and out are steps x windows, the states in the last axis of out."""
+        h, c = np.zeros((x.shape[1], HIDDEN), np.float32), np.zeros((x.shape[1], HIDDEN), np.float32)
+        z, v = np.empty((4, *h.shape), np.float32), np.empty((4, *h.shape), np.float32)
+        for t in range(len(x)):
+            np.take(self.inputs[k], x[t], axis=1, out=v, mode="clip")
+            np.matmul(h, self.states[k], out=z)
+            z += v
+            np.tanh(z, out=z)
+            s = z[:3]
+            s *= 0.5
+            s += 0.5
+            c *= z[1]
+            z[0] *= z[3]
+            c += z[0]
+            np.tanh(c, out=h)
+            h *= z[2]
+            out[t] = h
+
+    def scores(self, windows: np.ndarray) -> np.ndarray:
+        """Tag scores of windows: windows x steps x TAGS."""
+        x = np.ascontiguousarray(windows.T)
+        a, b = np.empty((*x.shape, HIDDEN), np.float32), np.empty((*x.shape, HIDDEN), np.float32)
+        self.one_way(x, 0, a)
+        self.one_way(x[::-1], 1, b[::-1])
+        w = self.net.out
+        return (a @ w[:HIDDEN] + b @ w[HIDDEN:-1] + w[-1]).transpose(1, 0, 2)
+
+    def open(self, e: np.ndarray) -> np.ndarray:
+        """Places whose scores let a tag other than the outside one be on a best path; each span on one holds such a place."""
+        return (e[..., 1:] - e[..., :1] + self.gain).max(-1) > 0
+
+
+_ramp = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float32)[:, None]
+
+
+def starts(n: int) -> np.ndarray:
+    """Where the windows of a text of n code points begin."""
+    return np.arange(0, max(1, n - WIDTH + STRIDE), STRIDE)
+
+
+def open_chains(reader: Reader, chains: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(chain, place, blended scores) of the stretches of chains of classes that need decoding.
+
+    All windows of all chains are scored. Overlapping windows are weighted by the distance to the window's edge; a place that
+    is closed in both is closed in the blend, so only windows with an open place and their neighbours are blended.
+    """
+    size = np.array([len(c) for c in chains], np.int64)
+    first = np.concatenate([[0], np.cumsum(size)])
+    every = np.concatenate([*chains, np.full(1, PAD)])
+    at = [starts(int(n)) if n else np.zeros(0, np.int64) for n in size]
+    chain, lo = np.repeat(np.arange(len(chains)), [len(a) for a in at]), np.concatenate([np.zeros(0, np.int64), *at])
+    kept: dict[int, np.ndarray] = {}
+    before: tuple[int, np.ndarray] | None = None  # the last window of the batch before, in case its neighbour opens
+    wanted = -1
+    opened: list[int] = []
+    for k in range(0, len(lo), BATCH):
+        own = lo[k : k + BATCH, None] + np.arange(WIDTH)
+        inside = own < size[chain[k : k + BATCH], None]
+        e = reader.scores(every[np.where(inside, own + first[chain[k : k + BATCH], None], len(every) - 1)])
+        hit = (reader.open(e) & inside).any(1)
+        if before is not None and hit[0]:
+            kept.setdefault(*before)
+        near = hit.copy()
+        near[1:] |= hit[:-1]
+        near[:-1] |= hit[1:]
+        near[0] |= wanted == k
+        for r in np.flatnonzero(near).tolist():
+            kept[k + r] = e[r].copy()
+        opened += (np.flatnonzero(hit) + k).tolist()
+        before, wanted = (k + len(hit) - 1, e[-1].copy()), k + len(hit) if hit[-1] else -1
+    run: list[int] = []
+    for w in [*opened, -1]:
+        if run and (w < 0 or w != run[-1] + 1 or chain[w] != chain[run[0]]):
+            yield from _stretches(reader, int(chain[run[0]]), size, lo, chain, kept, run)
+            run = []
+        run.append(w)
+
+
+def _stretches(reader: Reader, k: int, size: np.ndarray, lo: np.ndarray, chain: np.ndarray, kept: dict[int, np.ndarray], run: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The blended scores of a run of open windows, cut to the places around open ones."""
+    a, b = int(lo[run[0]]), min(int(lo[run[-1]]) + WIDTH, int(size[k]))
+    total, weight = np.zeros((b - a, TAGS), np.float32), np.zeros((b - a, 1), np.float32)
+    for w in range(run[0] - 1, run[-1] + 2):
+        if w not in kept or chain[w] != k:
+            continue
+        x, y = max(a, int(lo[w])), min(b, int(lo[w]) + WIDTH)
+        if x < y:
+            own = slice(x - int(lo[w]), y - int(lo[w]))
+            total[x - a : y - a] += kept[w][own] * _ramp[own]
+            weight[x - a : y - a] += _ramp[own]
+    e = total / weight
+    places = np.flatnonzero(reader.open(e))
+    if len(places):
+        cuts = np.flatnonzero(np.diff(places) > 2 * REACH)
+        for p, q in zip(places[np.r_[0, cuts + 1]].tolist(), places[np.r_[cuts, len(places) - 1]].tolist(), strict=True):
+            p, q = max(0, p - REACH), min(len(e), q + 1 + REACH)
+            yield k, a + p, e[p:q]
 
 
 def decode(net: Net, e: np.ndarray) -> list[tuple[int, int, int]]:
@@ -311,7 +453,10 @@ def decode(net: Net, e: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def plausible(text: str, start: int, kind: int, end: int) -> bool:
-    """An exact check of what the net adds: whole words, and what the kind asks for in another spelling."""
+    """An exact check of what the net adds: whole words, and what the kind asks for in another spelling.
+
+    A number of 15 or 16 digits may miss its check digit: it can be a card with a slip.
+    """
     if (start and text[start - 1].isalnum() and text[start].isalnum()) or (end < len(text) and text[end].isalnum() and text[end - 1].isalnum()):
         return False
     body = text[start:end]
@@ -321,57 +466,68 @@ def plausible(text: str, start: int, kind: int, end: int) -> bool:
         plain = re.sub(r"\s*[\[(](?:dot)[\])]\s*", ".", plain)
         return any(a == 0 and b == len(plain) for a, b in emails(plain))
     if kind == 1:
-        return octets(re.sub(r"\s", "", body)) if re.fullmatch(r"[0-9]+(\s*\.\s*[0-9]+){3}", body) else False
+        plain = re.sub(r"\s*(?:\[\.\]|\[dot\]|\(dot\)|\.)\s*", ".", body)
+        return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", plain)) and octets(plain)
     if kind == 2:
-        return 12 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9 ./-]+", body))
-    return 9 <= len(d) <= 15 and bool(re.fullmatch(r"[+0-9 ()./-]+", body)) and any(c in body for c in "+(-")
+        return bool(re.fullmatch(r"[0-9](?:[ ./-]?[0-9])+", body)) and (len(d) in (15, 16) or (12 <= len(d) <= 19 and luhn(d)))
+    return 9 <= len(d) <= 15 and bool(re.fullmatch(r"[+0-9 ()./-]+", body)) and any(c in body for c in "+(-.")
+
 
+def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """A span without the white space and the marks of a sentence at its ends."""
+    while end > start and (text[end - 1].isspace() or text[end - 1] in ".,;:!?-/"):
+        end -= 1
+    while end > start and (text[start].isspace() or text[start] in ".,;:!?-/"):
+        start += 1
+    return start, end
 
-def find_spans(net: Net, some: list[str]) -> list[tuple[list, list]]:
+
+def find_spans(reader: Reader, some: list[str]) -> list[tuple[list, list]]:
     """For each text its base spans, and all its spans, as (start, kind, end)."""
     base = [base_spans(t) if TRIGGER.search(t) else [] for t in some]
-    where = [(k, a, b) for k, t in enumerate(some) for a, b in (regions(t) if TRIGGER.search(t) or "at)" in t or "at]" in t else [])]
     added: dict[int, list] = {}
-    if where:
-        chains = [classes(some[k][a:b]) for k, a, b in where]
-        for (k, a, _), e in zip(where, blended(net, chains), strict=True):
-            for s, kind, u in decode(net, e):
-                s, u = s + a, u + a
-                while u > s and some[k][u - 1].isspace():
-                    u -= 1
-                if u > s and not any(x < u and s < y for x, _, y in base[k]) and plausible(some[k], s, kind, u):
-                    added.setdefault(k, []).append((s, kind, u))
+    for k, a, e in open_chains(reader, [classes(t) for t in some]):
+        for s, kind, u in decode(reader.net, e):
+            s, u = trimmed(some[k], s + a, u + a)
+            if u > s and not any(x < u and s < y for x, _, y in base[k]) and plausible(some[k], s, kind, u):
+                added.setdefault(k, []).append((s, kind, u))
     return [(b, sorted(b + added.get(k, []))) for k, b in enumerate(base)]
 
 
-def sample(docs: DataFrame, many: int = SAMPLE_TEXTS) -> list[str]:
-    """About many texts that hold a trigger, by their hash, each as a window of 2000 code points around one."""
+def sample(docs: DataFrame, many: int = SAMPLE_TEXTS) -> DataFrame | None:
+    """About many texts that hold a trigger, by their hash, each as a window of 2000 code points around one; None without any."""
     rows = docs.select("text").where("text rlike '[0-9@]'").select("text", F.xxhash64("text").alias("_h"))
     few = picked(rows.select("_h"), "_h", many)
     if few is None:
-        return []
+        return None
     found = rows.join(few, "_h").groupBy("_h").agg(F.min("text").alias("text"))
     place = F.length(F.regexp_substr("text", F.lit("^[^0-9@]*")))
-    return sorted(r["text"] for r in found.select(F.substr("text", F.greatest(F.lit(1), place - 300).cast("int"), F.lit(2000)).alias("text")).collect())
+    return found.select(F.substr("text", F.greatest(F.lit(1), place - 300).cast("int"), F.lit(2000)).alias("text"))
+
+
+def fit(docs: DataFrame) -> Net:
+    """A net from the sample of docs, trained in one task."""
+    some = sample(docs)
+    return train([]) if some is None else fitted(some, lambda rows: train([t for (t,) in rows]))
 
 
 def show(spans: list[tuple[int, int, int]]) -> str:
     return ",".join([f"{KINDS[k]}:{a}:{b}" for a, k, b in spans])
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, net: Net | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, counts of the base spans, base_sha256, spans.
 
     A null text is empty and has no span; repeated rows give equal rows; an empty table gives an empty one; other
-    columns are not read. Spans that the net adds pass an exact check and meet no base span.
+    columns are not read. Spans that the net adds pass an exact check and meet no base span. Without a net, one is trained.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(train(sample(docs)))  # a net of fixed size
+    sent = docs.sparkSession.sparkContext.broadcast(net or fit(docs))  # a net of fixed size
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = sent.value
+        reader = Reader(sent.value)
         for b in it:
             rows = []
-            for base, spans in find_spans(net, strings(b.column(1))):
+            for base, spans in find_spans(reader, strings(b.column(1))):
                 count = [0] * len(KINDS)
                 for _, k, _ in base:
                     count[k] += 1
@@ -393,15 +549,16 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, net: Net | None = None) -> DataFrame:
     """docs with personal data in text masked and n_chars following it. Texts without any, and null ones, stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(sample(docs)))
+    sent = docs.sparkSession.sparkContext.broadcast(net or fit(docs))
     at, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(sent.value)
         for b in it:
             given = b.column(at).to_pylist()
-            new = [None if t is None else masked(t, s) if s else t for t, (_, s) in zip(given, find_spans(sent.value, [t or "" for t in given]), strict=True)]
+            new = [None if t is None else masked(t, s) if s else t for t, (_, s) in zip(given, find_spans(reader, [t or "" for t in given]), strict=True)]
             columns = list(b.columns)
             columns[at] = pa.array(new, b.schema.field(at).type)
             if size is not None:

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ from plumbline.llm import pii
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 SCHEMA = "doc_id long, text string"
+LARGER = "/root/testdata/sf0.01"
 
 
 def brute(t):
@@ -63,46 +65,97 @@ def corpus(n=240, seed=8):
 
 @pytest.fixture(scope="module")
 def net():
-    return pii.train(corpus())
+    return pii.Reader(pii.train(corpus(), steps=250))
+
+
+def decoded(reader, texts):
+    """What the network says of each text by itself, without the exact check."""
+    out = [set() for _ in texts]
+    for k, a, e in pii.open_chains(reader, [pii.classes(t) for t in texts]):
+        out[k] |= {(s + a, kind, u + a) for s, kind, u in pii.decode(reader.net, e)}
+    return out
 
 
 def test_network_finds_held_out_spans(net):
-    found = total = 0
-    for t in corpus(40, seed=99):
-        base = pii.base_spans(t)
-        got = set()
-        for a, b in pii.regions(t):
-            (e,) = pii.blended(net, [pii.classes(t[a:b])])
-            got |= {(s + a, k, u + a) for s, k, u in pii.decode(net, e)}
-        found += sum(s in got for s in base)
-        total += len(base)
-    assert found / total > 0.8
+    some = corpus(40, seed=99)
+    base = [pii.base_spans(t) for t in some]
+    found = sum(s in got for b, got in zip(base, decoded(net, some), strict=True) for s in b)
+    assert found / sum(map(len, base)) > 0.8
+
+
+def brute_chains(reader, text):
+    """All windows of the text by the training code's scores, blended, and the whole chain decoded at once."""
+    c = pii.classes(text)
+    total, weight = np.zeros((len(c), pii.TAGS)), np.zeros((len(c), 1))
+    for lo in pii.starts(len(c)):
+        x = np.full((1, pii.WIDTH), pii.PAD)
+        own = c[lo : lo + pii.WIDTH]
+        x[0, : len(own)] = own
+        e, _ = pii.scores(reader.net, x)
+        total[lo : lo + len(own)] += e[: len(own), 0] * pii._ramp[: len(own)]
+        weight[lo : lo + len(own)] += pii._ramp[: len(own)]
+    return set(pii.decode(reader.net, total / weight))
+
+
+def test_stretches_give_the_decoding_of_the_whole_chain(net, monkeypatch):
+    some = [t for t in corpus(12, seed=31)] + ["ax12 (at) mail3 (dot) example (dot) com", "x", "", " " * 500 + "+1 (222) 555-1234"]
+    want = [brute_chains(net, t) if t else set() for t in some]
+    for batch in (1, 3, 512):  # windows of one text in several batches
+        monkeypatch.setattr(pii, "BATCH", batch)
+        assert decoded(net, some) == want
 
 
 def test_other_spellings_are_added_and_checked(net):
-    hits = 0
-    for t in ("write to ax12 (at) mail3 (dot) example (dot) com soon", "write to bx7[at]mail1.example.com soon", "call 1 555-222-3333 or (222) 555-1234 now"):
-        ((base, spans),) = pii.find_spans(net, [t])
+    rng = random.Random(6)
+    n = lambda form: "".join(str(rng.randint(0, 9)) if c == "0" else c for c in form)
+    forms = [lambda: n("bx00 (at) mail0 (dot) example (dot) com"), lambda: n("cx0[at]mail0.example.com"), lambda: n("10[.]0[.]00[.]1"), lambda: n("001 (000) 555-0000"), lambda: "4539.5787.6362.1486"]
+    hits = total = 0
+    for k, t in enumerate(corpus(60, seed=77)):
+        body, at = forms[k % len(forms)](), t.index(" ")
+        ((base, spans),) = pii.find_spans(net, [t[:at] + " " + body + t[at:]])
         assert set(base) <= set(spans)
-        hits += len(spans) > len(base)
-    assert hits >= 1
-    assert pii.find_spans(net, ["plain words without anything", "", "version 3.14 of 2024"]) == [([], []), ([], []), ([], [])]
+        total += 1
+        hits += any(a <= at + 2 and at + len(body) <= b for a, _, b in spans)
+    assert hits / total > 0.7
+    plain = ["plain words without anything", "", "version 3.14 of 2024", n("on 0000-00-00 at 00:00:00 for $0,000.00")]
+    assert pii.find_spans(net, plain) == [([], [])] * len(plain)
+
+
+@pytest.mark.parametrize("text", ["1.2.3." + "0" * 5000, "0" * 10_000 + "1.2.3.4", "1" * 2_000_000, "0" * 2_000_000, " " * 2_000_000, "\n" * 1_000_000 + "@", "1 " * 500_000, "+1" + "(" * 500_000, "a@" * 200_000, "1." * 500_000], ids=range(10))
+def test_odd_texts_do_not_stop_a_job(net, text):
+    ((base, spans),) = pii.find_spans(net, [text])
+    assert set(base) <= set(spans)
 
 
-def test_scan(spark):
+def test_zero_padded_parts():
+    assert pii.octets("1.2.3." + "0" * 5000) and pii.octets("0" * 5000 + "1.2.3.4") and not pii.octets("1.2.3." + "0" * 5000 + "256") and not pii.octets("1.2.3." + "9" * 5000)
+
+
+def test_scan(spark, net):
     rows = [(i, t) for i, t in enumerate(corpus(30))] + [(100, None), (101, ""), (None, "a@b.cd"), (102, "x" * 120_000 + " a@b.cd"), (103, "a@b.cd"), (103, "a@b.cd")]
     df = spark.createDataFrame([(*r, "q", 1) for r in rows], SCHEMA + ", spans string, n_ip int")
-    got = pii.scan(df).collect()
+    got = pii.scan(df, net.net).collect()
     assert len(got) == len(rows)
     text = dict(rows)
     for r in got:
         want = brute(text[r["doc_id"]] or "")
         assert r["base_sha256"] == hashlib.sha256(pii.show(want).encode()).hexdigest()
         assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(sum(k == j for _, k, _ in want) for j in range(4))
-    assert pii.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert pii.scan(spark.createDataFrame([], SCHEMA)).count() == 0  # nothing to train from
+
+
+def test_redact(spark, net):
+    df = spark.createDataFrame([(1, "to a@b.cd and 1.2.3.4", 21), (2, None, None), (3, "clean", 5), (4, "1.2.3." + "0" * 5000, 5006)], SCHEMA + ", n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(df, net.net).collect()}
+    assert got == {1: ("to [EMAIL] and [IP]", 19), 2: (None, None), 3: ("clean", 5), 4: ("[IP]", 4)}
 
 
-def test_redact(spark):
-    df = spark.createDataFrame([(1, "to a@b.cd and 1.2.3.4", 21), (2, None, None), (3, "clean", 5)], SCHEMA + ", n_chars long")
-    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(df).collect()}
-    assert got == {1: ("to [EMAIL] and [IP]", 19), 2: (None, None), 3: ("clean", 5)}
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="the larger tables are not here")
+def test_spans_are_added_to_the_test_documents(spark):
+    """Rewritten forms planted in every fifth document are found; other documents have their base spans and cards with a slip."""
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").where("text is not null").select("doc_id", "text")
+    planted = docs.selectExpr("doc_id", "case when doc_id % 5 = 0 then concat('write to bob7 (at) mail3 (dot) example (dot) com or 10[.]20[.]30[.]40 now. ', text) else text end as text")
+    got = pii.scan(planted, pii.fit(docs)).collect()
+    marked = [r for r in got if r["doc_id"] % 5 == 0]
+    assert sum("email:9:48" in r["spans"] and "ip:52:69" in r["spans"] for r in marked) / len(marked) > 0.8
+    assert all(":" not in r["spans"] or set(k.split(":")[0] for k in r["spans"].split(",")) <= set(pii.KINDS) for r in got)
