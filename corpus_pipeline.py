@@ -41,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of the documents' pieces in training sequences."""
     import public_tokenizers as vocabularies
 
-    return packing.pack_documents(docs, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, PACK_SPECIAL)
+    return packing.pack_documents(docs, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, PACK_SPECIAL)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mask_pii", mask_pii), ("pack", pack)]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, task
+from .common import fitted, slices, task
 from .textbytes import ASCII_LETTER, LETTER, lowered, mix, span_hashes, words
 
 #: The training sample: so many texts of each language, and so many code points of each, from a place given by a hash.
@@ -28,10 +28,7 @@ PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 def word_matrix(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of buckets: (word, bucket) pairs for prefixes and suffixes of 1 to 3 bytes and n-grams of 2 to 4 bytes."""
     n = end - start
-    order = np.argsort(-n, kind="stable")
-    start, n = start[order], n[order]
     rows, codes = [], []
-    up_to = np.searchsorted(-n, -np.arange(int(n[0]) + 1 if len(n) else 1), "right")  # how many words have so many bytes at least
     d = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint64)
 
     def gram(at: np.ndarray, k: int, salt: int) -> np.ndarray:
@@ -41,19 +38,13 @@ def word_matrix(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
         return mix(h) & np.uint64(BUCKETS - 1)
 
     for k in (1, 2, 3):
-        m = int(up_to[k]) if k < len(up_to) else 0
-        if m:
-            rows += [order[:m]] * 2
-            codes += [gram(start[:m], k, 101 + k), gram(start[:m] + n[:m] - k, k, 201 + k)]
+        own = np.flatnonzero(n >= k)
+        rows += [own] * 2
+        codes += [gram(start[own], k, 101 + k), gram(end[own] - k, k, 201 + k)]
     for k in (2, 3, 4):
-        for j in range(len(up_to) - k):
-            m = int(up_to[j + k])
-            if not m:
-                break
-            rows.append(order[:m])
-            codes.append(gram(start[:m] + j, k, 301 + k))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        many = np.maximum(0, n - k + 1)
+        rows.append(np.repeat(np.arange(len(n)), many))
+        codes.append(gram(np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum()), k, 301 + k))
     return np.concatenate(rows), np.concatenate(codes).astype(np.int64)
 
 
@@ -86,8 +77,8 @@ class Model:
         return ((score / np.sqrt(size)[:, None] + self.known(hashes[first]) @ self.lex_weights)[inverse]).astype(np.float32)
 
 
-def posteriors(emissions: np.ndarray, text: np.ndarray, n: int, transitions: np.ndarray) -> np.ndarray:
-    """Probability of each label at each word, for the chains of n texts at once.
+def posteriors(emissions: np.ndarray, text: np.ndarray, n: int, transitions: np.ndarray, forward: np.ndarray | None = None) -> np.ndarray:
+    """Probability of each label at each word, for the chains of n texts at once; forward is filled with that given the words up to it.
 
     Chains are cut into segments. A first pass multiplies the step matrices of each segment, a second one carries
     vectors from segment to segment, a third one runs within all segments side by side: the result is that of one pass
@@ -128,6 +119,8 @@ def posteriors(emissions: np.ndarray, text: np.ndarray, n: int, transitions: np.
         step = (v @ t) * e[:, k]
         v = np.where(real[:, k, None], step / step.sum(1, keepdims=True), v)
         alpha[:, k] = v
+    if forward is not None:
+        forward[:] = alpha[seg, at]
     v = tail
     for k in range(SEGMENT - 1, -1, -1):
         alpha[:, k] *= v
@@ -137,6 +130,12 @@ def posteriors(emissions: np.ndarray, text: np.ndarray, n: int, transitions: np.
     return out / out.sum(1, keepdims=True)
 
 
+def pairs(before: np.ndarray, after: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Probabilities of the labels of two neighbours: before is what the words up to the first say of it, after what all say of the second."""
+    way = before[:, :, None] * np.exp(transitions)[None]
+    return way / way.sum(1, keepdims=True) * after[:, None, :]
+
+
 def train(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 3, rate: float = 0.5) -> Model:
     """A model from (text, language). Chains are runs of words; a third of them switch to another language's run."""
     labels = sorted({lang for _, lang in samples})
@@ -178,7 +177,8 @@ def train(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 3, rate:
             r, c = np.repeat(np.arange(len(uw)), n), code[idx]
             scale = 1 / np.sqrt(np.maximum(1, n))
             e = np.stack([np.bincount(r, m.weights[c, k], len(uw)) for k in range(count)], 1) * scale[:, None] + lex[uw] @ m.lex_weights
-            p = posteriors(e[where].astype(np.float32), chain, len(chains), m.transitions)
+            before = np.empty((len(w), count), np.float32)
+            p = posteriors(e[where].astype(np.float32), chain, len(chains), m.transitions, before)
             g = -p.astype(np.float64)
             g[np.arange(len(w)), y[w]] += 1
             gu = np.stack([np.bincount(where, g[:, k], len(uw)) for k in range(count)], 1) / len(chains)
@@ -189,9 +189,7 @@ def train(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 3, rate:
             inner = chain[1:] == chain[:-1]
             gt = np.zeros((count, count))
             np.add.at(gt, (y[w][:-1][inner], y[w][1:][inner]), 1)
-            # expected transitions, from the posteriors of the two ends weighted by the transition
-            pair = p[:-1][inner][:, :, None] * np.exp(m.transitions)[None] * p[1:][inner][:, None, :]
-            gt = (gt - (pair / pair.sum((1, 2), keepdims=True)).sum(0)) / len(chains)
+            gt = (gt - pairs(before[:-1][inner], p[1:][inner], m.transitions).sum(0)) / len(chains)
             for value, square, grad in ((m.weights, square_w, gw), (m.lex_weights, square_l, gl), (m.transitions, square_t, gt)):
                 square += grad**2
                 value += (rate * grad / np.sqrt(square) * (grad != 0)).astype(value.dtype)
@@ -225,19 +223,26 @@ def score_texts(m: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     return names, np.array(scores)
 
 
-def sample(docs: DataFrame, learn_from: str, texts_each: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """About texts_each distinct (text, language) for each language, by the hash of the text; a long text gives one window.
+def sample(docs: DataFrame, learn_from: str, texts_each: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> DataFrame | None:
+    """About texts_each distinct (text, lang) for each language, by the hash of the text; a long text gives one window. None without any.
 
-    Hashes are picked first, in 64 parts of each language, since one language can hold most rows; then their texts.
+    Hashes are picked first, in 64 parts of each language, since one language can hold most rows; then their texts. Texts
+    below 40 code points come only where a part of a language has too few longer ones.
     """
-    rows = docs.where(F.expr(learn_from)).where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("_h")).where("length(text) >= 40")
-    part = Window.partitionBy("lang", F.pmod("_h", F.lit(64))).orderBy("_h")
-    picked = rows.select("lang", "_h").distinct().withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= -(-texts_each // 64)).select("lang", "_h").collect()
+    rows = docs.where(F.expr(learn_from)).where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("_h"), (F.length("text") < 40).alias("_short"))
+    part = Window.partitionBy("lang", F.pmod("_h", F.lit(64))).orderBy("_short", "_h")
+    picked = rows.select("lang", "_h", "_short").distinct().withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= -(-texts_each // 64)).select("lang", "_h").collect()
     if not picked:
-        return []
+        return None
     few = F.broadcast(docs.sparkSession.createDataFrame(picked, "lang string, _h long"))  # texts_each for each language
     window = F.expr(f"substring(text, cast(1 + pmod(_h, greatest(1, length(text) - {chars} + 1)) as int), {chars})").alias("text")
-    return sorted((r["text"], r["lang"]) for r in rows.join(few, ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text")).select("lang", window).collect())
+    return rows.select("lang", "text", "_h").join(few, ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text")).select(window, "lang")
+
+
+def fit(docs: DataFrame, learn_from: str) -> Model:
+    """A model from the sample of docs, trained in one task."""
+    some = sample(docs, learn_from)
+    return train([]) if some is None else fitted(some, train)
 
 
 #: Rows that are learned from, unless the caller says otherwise.
@@ -252,7 +257,7 @@ def identify(docs: DataFrame, learn_from: str = LEARN_FROM) -> DataFrame:
     is held out. Ties between languages go to the first by name; repeated rows give equal rows; other columns are not
     read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(train(sample(docs, learn_from)))  # its size is set by BUCKETS and the sample
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, learn_from))  # its size is set by BUCKETS and the sample
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(~F.expr(learn_from), F.lit(True)).alias("held_out"), "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +270,7 @@ def identify(docs: DataFrame, learn_from: str = LEARN_FROM) -> DataFrame:
 
 def with_language(docs: DataFrame, learn_from: str = LEARN_FROM) -> DataFrame:
     """The rows of docs, whole, whose text has a language, be it one of several in the text."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(sample(docs, learn_from)))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, learn_from))
     at = docs.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,8 @@ take the planned slots by their rank within their length.
 from __future__ import annotations
 
 import bisect
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +22,8 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Rows of one length that one task ranks; more are dealt over more groups.
 RANK_ROWS = 4096
+#: White space of this length is left to the library: the pattern of the other one needs stack for each character of it.
+LONG_BLANK = re.compile(r"\s{20000}")
 #: Chunks of text whose ids a worker remembers.
 CACHE_CHUNKS = 400_000
 
@@ -27,13 +31,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Ids of texts under a byte-level BPE vocabulary, as the tokenizers library gives them.
+    """Ids of texts under a byte-level BPE vocabulary, as the tokenizers library gives them. Texts with very long blanks go to it.
 
     The pre-tokenizer never joins what stands before a space with the space if the character before it is no white
     space, so a text splits there into chunks that encode by themselves, and common chunks are encoded once.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int], cache: int = CACHE_CHUNKS):
+    def __init__(self, ranks_path: str, library_path: str, pattern: str, special: dict[str, int], cache: int = CACHE_CHUNKS):
         import base64
 
         import tiktoken
@@ -41,8 +45,19 @@ class Encoder:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        self.special, self.limit = tuple(special), cache
+        self.special, self.limit, self.library_path = tuple(special), cache, library_path
         self.known: dict[str, bytes] = {}
+        self.library = None
+
+    def slowly(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.library_path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
         if any(s in text for s in self.special):
@@ -53,6 +68,8 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if len(text) >= 20000 and LONG_BLANK.search(text):
+            return self.slowly(text)
         parts = text.split(" ")
         found = list(map(self.known.get, parts))
         found[0] = b""
@@ -75,11 +92,11 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(ranks_path: str, pattern: str, special: dict[str, int]) -> Encoder:
+def encoder(ranks_path: str, library_path: str, pattern: str, special: dict[str, int]) -> Encoder:
     """One for each worker process; its memory is bounded."""
-    key = (ranks_path, pattern, tuple(special.items()))
+    key = (ranks_path, library_path, pattern, tuple(special.items()))
     if key not in _encoders:
-        _encoders[key] = Encoder(ranks_path, pattern, special)
+        _encoders[key] = Encoder(ranks_path, library_path, pattern, special)
     e = _encoders[key]
     if len(e.known) >= e.limit:
         e.known.clear()
@@ -92,7 +109,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], capacity: int = CAPACITY, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, ranks_path: str, library_path: str, pattern: str, special: dict[str, int], capacity: int = CAPACITY, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
     """The pieces of each document: its ids, then the separator, in pieces of at most capacity ids.
 
     A null text is empty and gives one piece with the separator alone. Repeated rows give their pieces as often.
@@ -100,7 +117,7 @@ def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[s
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end = encoder(ranks_path, pattern, special), separator.to_bytes(4, "little")
+        e, end = encoder(ranks_path, library_path, pattern, special), separator.to_bytes(4, "little")
         for b in it:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
@@ -187,6 +204,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.select(*pieces.columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, library_path: str, pattern: str, special: dict[str, int], capacity: int = CAPACITY) -> DataFrame:
     """Pieces of docs (doc_id, text) with their places. Texts are encoded once, into a table in the shared folder."""
-    return pack(written(token_pieces(docs, ranks_path, pattern, special, capacity), "pieces"), capacity)
+    return pack(written(token_pieces(docs, ranks_path, library_path, pattern, special, capacity), "pieces"), capacity)

@@ -17,7 +17,7 @@ PACK_SPECIAL = {"<|endoftext|>": 50256}
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
-    return packing.pack_documents(documents(spark, sf_dir), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, PACK_SPECIAL)
+    return packing.pack_documents(documents(spark, sf_dir), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, PACK_SPECIAL)
 
 
 def op2_pii_lstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

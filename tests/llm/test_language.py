@@ -34,6 +34,57 @@ def test_forward_backward_by_brute_force(monkeypatch, segment):
             assert np.allclose(got[own], brute(e[own], t), atol=1e-4)
 
 
+def test_transition_gradient_by_differences():
+    """Pairwise marginals are the derivative of the log partition by each transition."""
+    rng = np.random.default_rng(8)
+    sizes = [6, 1, 3]
+    e, t = rng.normal(size=(sum(sizes), 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32)
+    text = np.repeat(np.arange(3), sizes)
+    forward = np.empty_like(e)
+    p = language.posteriors(e, text, 3, t, forward)
+    inner = text[1:] == text[:-1]
+    got = language.pairs(forward[:-1][inner], p[1:][inner], t).sum(0)
+
+    def log_partition(t):
+        total = 0.0
+        for k in range(3):
+            own = e[text == k].astype(float)
+            v = np.exp(own[0]) * np.exp(T0).sum(0)  # a uniform label before the first word, at fixed transitions
+            for x in own[1:]:
+                v = (v @ np.exp(t)) * np.exp(x)
+            total += np.log(v.sum())
+        return total
+
+    T0 = t.astype(float)
+    for a in range(3):
+        for b in range(3):
+            d = np.zeros((3, 3))
+            d[a, b] = 1e-5
+            assert got[a, b] == pytest.approx((log_partition(T0 + d) - log_partition(T0 - d)) / 2e-5, abs=1e-3)
+
+
+def test_features_of_words_by_brute_force():
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 100, 60).astype(np.uint8)
+    start, end = np.array([0, 1, 3, 6, 10, 30]), np.array([1, 3, 6, 10, 30, 60])
+    row, code = language.word_matrix(data, start, end)
+    assert len(row) == sum(2 * sum(n >= k for k in (1, 2, 3)) + sum(max(0, n - k + 1) for k in (2, 3, 4)) for n in end - start)
+    for k in range(len(start)):  # a word alone has the same features
+        _, own = language.word_matrix(data[start[k] : end[k]], np.array([0]), np.array([end[k] - start[k]]))
+        assert sorted(own) == sorted(code[row == k])
+
+
+def test_very_long_words_take_linear_time():
+    m = language.train([("the cat and the dog " * 20, "en"), ("der hund und die katze " * 20, "de")])
+    assert language.score_texts(m, pa.array(["q" * 3_000_000]))[0][0] in ("en", "de")
+
+
+def test_short_texts_are_learned_from(spark):
+    docs = spark.createDataFrame([(i, f"{w} {i}", lang, "x") for i in range(40) for w, lang in (("the cat", "en"), ("der hund", "de"))] + [(99, "  ", "fr", "x"), (100, "der hund", None, None)], "doc_id long, text string, lang string, score string")
+    got = {(r["doc_id"], r["lang_pred"]) for r in language.identify(docs).collect()}
+    assert (100, "de") in got and (99, "und") in got
+
+
 def test_held_out_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
@@ -47,7 +98,7 @@ def test_held_out_documents(spark, data):
 
 def test_code_switched_words(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    m = language.train(language.sample(docs, language.LEARN_FROM))
+    m = language.fit(docs, language.LEARN_FROM)
     part = lambda lang: " ".join(docs.where(f"lang = '{lang}' and length(text) > 400").orderBy("doc_id").first()["text"].split()[:12])
     text = f"{part('en')} {part('de')}"
     _, _, raw, o = next(language.slices(pa.array([text])))

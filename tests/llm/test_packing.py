@@ -17,7 +17,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def encoder():
-    return packing.encoder(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, queries.PACK_SPECIAL)
+    return packing.encoder(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, queries.PACK_SPECIAL)
 
 
 ODD = ["", " ", "  ", "\n", "a", " a", "a ", "  a  b ", "a\n b", "a \n b", "a\t\tb  c\n\n d", "don't we'll", "x<|endoftext|> y", "<|endoftext|>", "é ü", "a  b", "a   b", "1234 56 !? ...", "a\x1c b", "日本 語", "a\r\n b", "é a\x00 b"]
@@ -36,6 +36,31 @@ def test_ids_of_documents(spark, data, encoder, reference):
         assert encoder.ids(r["text"]) == b"".join(i.to_bytes(4, "little") for i in reference.encode(r["text"], add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 1_000_000, "a" + " " * 1_500_000 + "b c", "\t " * 600_000, "x  y" * 10 + "\r\n" * 500_000 + " z", "0" * 1_000_000, "!" * 1_000_000], ids=range(7))
+def test_long_runs_do_not_stop_a_job(encoder, reference, text):
+    assert encoder.ids(text) == b"".join(i.to_bytes(4, "little") for i in reference.encode(text, add_special_tokens=False).ids)
+
+
+def by_document(lengths, capacity):
+    """Best fit, piece by piece: into the fullest sequence that has room."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fit = [k for k, r in enumerate(rooms) if r >= n]
+        k = min(fit, key=rooms.__getitem__) if fit else None
+        if k is None:
+            rooms.append(capacity - n)
+        else:
+            rooms[k] -= n
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_as_many_sequences_as_best_fit_by_document(seed):
+    rng = random.Random(seed)
+    counts = {rng.randint(1, 64): rng.randint(1, 30) for _ in range(rng.randint(0, 30))}
+    assert packing.best_fit(counts, 64)[1] == by_document([n for n, c in counts.items() for _ in range(c)], 64)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_every_rank_once(seed):
     rng = random.Random(seed)
@@ -70,7 +95,7 @@ def test_cut():
 
 def pack(spark, rows, capacity=16, schema=SCHEMA):
     df = spark.createDataFrame(rows, schema)
-    return packing.pack_documents(df, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, queries.PACK_SPECIAL, capacity).collect()
+    return packing.pack_documents(df, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, queries.PACK_SPECIAL, capacity).collect()
 
 
 def test_packed_rows(spark, encoder):
@@ -93,7 +118,7 @@ def test_packed_rows(spark, encoder):
 def test_empty_table_and_clashing_columns(spark):
     assert pack(spark, []) == []
     df = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, length string, rank string")
-    got = packing.pack_documents(df, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN, queries.PACK_SPECIAL).collect()
+    got = packing.pack_documents(df, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, queries.PACK_SPECIAL).collect()
     assert [(r["doc_id"], r["length"], r["offset"]) for r in got] == [(1, 3, 0)]
 
 

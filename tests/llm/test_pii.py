@@ -11,7 +11,7 @@ from plumbline.llm import pii
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 SCHEMA = "doc_id long, text string"
-LARGER = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
 
 
 def brute(t):
@@ -152,10 +152,11 @@ def test_redact(spark, net):
 
 @pytest.mark.skipif(not os.path.isdir(LARGER), reason="the larger tables are not here")
 def test_spans_are_added_to_the_test_documents(spark):
-    """Rewritten forms planted in every fifth document are found; other documents have their base spans and cards with a slip."""
-    docs = spark.read.parquet(f"{LARGER}/documents.parquet").where("text is not null").select("doc_id", "text")
-    planted = docs.selectExpr("doc_id", "case when doc_id % 5 = 0 then concat('write to bob7 (at) mail3 (dot) example (dot) com or 10[.]20[.]30[.]40 now. ', text) else text end as text")
-    got = pii.scan(planted, pii.fit(docs)).collect()
-    marked = [r for r in got if r["doc_id"] % 5 == 0]
+    """Rewritten forms planted in every second document are found; other documents have their base spans and cards with a slip."""
+    whole = spark.read.parquet(f"{LARGER}/documents.parquet").where("text is not null").select("doc_id", "text")
+    docs = whole.where("doc_id % 20 < 2")
+    planted = docs.selectExpr("doc_id", "case when doc_id % 2 = 0 then concat('write to bob7 (at) mail3 (dot) example (dot) com or 10[.]20[.]30[.]40 now. ', text) else text end as text")
+    got = pii.scan(planted, pii.fit(whole)).collect()
+    marked = [r for r in got if r["doc_id"] % 2 == 0]
     assert sum("email:9:48" in r["spans"] and "ip:52:69" in r["spans"] for r in marked) / len(marked) > 0.8
     assert all(":" not in r["spans"] or set(k.split(":")[0] for k in r["spans"].split(",")) <= set(pii.KINDS) for r in got)
