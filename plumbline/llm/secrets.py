@@ -1,8 +1,8 @@
 """Secret scans with multipart credential linking. DataFrame operations only.
 
 Base patterns give spans of their own. Beside them, weak candidates (an access identifier by its name, a 40-character
-token, an endpoint) are reported only if complementary parts stand in the same scope: an interval join of the parts'
-scopes, done as one sweep over the sorted parts of a document, so that no pair is ever made.
+token, an endpoint) are reported only if complementary parts stand beside them in the same scope: an interval join of the
+parts' scopes, done as one sweep over the sorted ends of a document's parts, so that no pair is ever made.
 """
 
 from __future__ import annotations
@@ -57,31 +57,37 @@ def parts(docs: DataFrame) -> DataFrame:
     rows = rows.select("*", *[_gaps(t, p, F.col(f"m{k}")).alias(f"g{k}") for k, (p, *_) in names.items()], F.when(F.size("m0") > 0, F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(1))).otherwise(F.array().cast("array<string>")).alias("value"))
     each = [_parts(k, role, strong, F.col(f"m{k}"), F.col(f"g{k}"), F.transform("value", lambda v: F.length(v) >= 12) if k == 0 else None) for k, (_, role, strong, _) in names.items()]
     mark = F.array(F.struct(F.lit(-1).alias("kind"), F.lit("").alias("role"), F.lit(False).alias("strong"), F.lit(0).alias("n"), F.lit(False).alias("ok"), F.lit(0).alias("gap")))
-    dealt = rows.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.concat(mark, *each)).alias("pos", "p")).select("doc_id", "h", "pos", "p.*").repartition("doc_id", "h")
-    # Repeated rows share a key: they are dealt one after the other by the position in their arrays.
+    dealt = rows.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.concat(mark, *each)).alias("pos", "p")).select("doc_id", "h", "pos", "p.*")
+    # Repeated rows share a key: they are counted before they meet.
+    once = dealt.groupBy("doc_id", "h", "kind", "pos", "role", "strong", "n", "ok", "gap").agg(F.count("*").alias("copies")).repartition("doc_id", "h")
     run = Window.partitionBy("doc_id", "h", "kind").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
-    copies = F.max(F.when(F.col("kind") == -1, 1).otherwise(0))
-    once = dealt.groupBy("doc_id", "h", "kind", "pos", "role", "strong", "n", "ok", "gap").agg(F.count("*").alias("copies"), copies.alias("_m"))
     end = F.sum(F.col("gap") + F.col("n")).over(run)
-    return once.withColumn("end", end).withColumn("start", F.col("end") - F.col("n")).where("kind = -1 or ok").drop("gap", "ok", "pos", "_m", "n")
+    return once.withColumn("end", end).withColumn("start", F.col("end") - F.col("n")).where("kind = -1 or ok").drop("gap", "ok", "pos", "n")
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The strong parts, and the weak ones with complements in their scope.
 
     An access identifier needs a secret, a secret an access identifier, an endpoint both. Two parts are in one scope if
-    at most scope code points lie between them.
+    at most scope code points lie between them; parts that overlap are one value and no complements.
+
+    The sweep meets both ends of each part: at a start it knows the last end of each role, at an end the next start.
     """
-    before = Window.partitionBy("doc_id", "h").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("doc_id", "h").orderBy("start", "end", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    begin, finish = F.struct(F.col("start").alias("at"), F.lit(1).alias("begins")), F.struct(F.col("end").alias("at"), F.lit(0).alias("begins"))
+    ends = F.explode(F.when(F.col("kind") == -1, F.array(finish)).otherwise(F.array(begin, finish))).alias("e")
+    swept = found.select("*", ends).select("*", "e.at", "e.begins").drop("e")
+    order = Window.partitionBy("doc_id", "h").orderBy("at", "begins", "kind", "start")  # where one part ends and one begins, the end comes first
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     near = {}
     for role in ("access", "secret"):
         is_role = F.col("role") == role
-        last = F.max(F.when(is_role, F.col("end"))).over(before)
-        first = F.min(F.when(is_role, F.col("start"))).over(after)
-        near[role] = F.coalesce(last >= F.col("start") - scope, F.lit(False)) | F.coalesce(first <= F.col("end") + scope, F.lit(False))
-    ok = F.when(F.col("role") == "access", near["secret"]).when(F.col("role") == "secret", near["access"]).when(F.col("role") == "endpoint", near["access"] & near["secret"])
-    return found.withColumn("_ok", F.col("strong") | F.coalesce(ok, F.lit(False))).where("_ok or kind = -1").drop("_ok")
+        last = F.max(F.when(is_role & (F.col("begins") == 0), F.col("at"))).over(before)
+        first = F.min(F.when(is_role & (F.col("begins") == 1), F.col("at"))).over(after)
+        near[role] = F.coalesce(F.when(F.col("begins") == 1, last >= F.col("at") - scope).otherwise(first <= F.col("at") + scope), F.lit(False))
+    sides = swept.select(*found.columns, *[c.alias(f"_{role}") for role, c in near.items()]).groupBy("doc_id", "h", "kind", "role", "strong", "copies", "start", "end")
+    judged = sides.agg(F.max("_access").alias("_access"), F.max("_secret").alias("_secret"))
+    ok = F.when(F.col("role") == "access", F.col("_secret")).when(F.col("role") == "secret", F.col("_access")).when(F.col("role") == "endpoint", F.col("_access") & F.col("_secret"))
+    return judged.where((F.col("kind") == -1) | F.col("strong") | ok).select(*found.columns)
 
 
 def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
