@@ -32,7 +32,10 @@ BLOCK, LEAF_BLOCK = 256, 1024
 #: So many candidates are broadcast, at 16 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
-MEMBERS = "doc_id long, d1 long, d2 long, size int, sketch binary, paths array<long>"
+#: Pairs of sketches that one task compares, about.
+TASK_PAIRS = 1 << 24
+
+MEMBERS = "doc_id long, t long, d1 long, d2 long, size int, sketch binary, paths array<long>"
 
 
 def runs_for(similarity: float, recall: float = RECALL, depth: int = DEPTH, picks: float = PICKS) -> int:
@@ -77,12 +80,12 @@ def sketch(u: np.ndarray) -> bytes:
 
 
 def members(docs: DataFrame, similarity: float) -> DataFrame:
-    """The sets of docs (doc_id, text): digest, size, sketch and leaves. Words are what stands between ASCII white space."""
+    """The sets of docs (doc_id, text), t being a hash of the text: digest, size, sketch and leaves. Words are what stands between ASCII white space."""
     seeds = mix(np.arange(1, runs_for(similarity) + 1, dtype=np.uint64))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for lo, hi, data, offsets in slices(b.column(1)):
+            for lo, hi, data, offsets in slices(b.column(2)):
                 text, start, end = words(data, offsets, ~WHITE)
                 rows = []
                 for u in shingles(text, span_hashes(data, start, end), hi - lo, WIDTH):
@@ -92,9 +95,14 @@ def members(docs: DataFrame, similarity: float) -> DataFrame:
                     else:
                         rows.append((0, 0, 0, b"", np.zeros(0, np.int64)))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *[pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[f.split(" ")[0] for f in MEMBERS.split(", ")])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *[pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], names=[f.split(" ")[0] for f in MEMBERS.split(", ")])
+
+    return hashed(docs).mapInArrow(task(run), MEMBERS)
 
-    return texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(task(run), MEMBERS)
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, t, text: what names a row of docs is its id, null or not, and the hash of its text."""
+    return texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").select("doc_id", F.xxhash64("text").alias("t"), "text")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -145,8 +153,11 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) between sets whose sketches are alike in a shared leaf, as many as span them."""
     spots = sets.select("rep", F.explode("paths").alias("path"))
     sizes = spots.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-    shared = spots.join(sizes, "path").select("path", "n", "rep")  # few leaves are shared: sketches come after
+    shared = written(spots.join(sizes, "path").select("path", "n", "rep"), "leaves")  # few leaves are shared: sketches come after
     rows = dealt(shared.join(sets.select("rep", "sketch"), "rep"), "n", "rep", LEAF_BLOCK).select("path", "part", "other", "own", "rep", "sketch")
+    # Bytes say little of the cost of a leaf, which goes by its pairs: as many tasks as these ask for.
+    pairs = shared.agg(F.sum(F.least("n", F.lit(2 * LEAF_BLOCK)) * F.greatest(F.lit(1), F.ceil(F.col("n") / LEAF_BLOCK))).alias("s")).first()["s"] or 0
+    tasks = int(min(100_000, max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))))
     least = SKETCH * similarity - 4 * math.sqrt(SKETCH * similarity * (1 - similarity))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +182,7 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    placed = rows.repartition("path", "part", "other").sortWithinPartitions("path", "part", "other")
+    placed = rows.repartition(tasks, "path", "part", "other").sortWithinPartitions("path", "part", "other")
     return placed.mapInArrow(task(run), "a long, b long").distinct()
 
 
@@ -199,31 +210,25 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verified(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """For the sets of candidate groups (rep, root, n, copies): (rep, to, links), one row or more for each set.
+    """For the sets of candidate groups (rep, root, n, copies, doc_id, t): (rep, to, links), one row or more for each set.
 
-    links adds up, over the rows of a set, to the documents of other sets that are similar enough; to names a set that
-    it is connected with, itself if there is none in the block.
+    doc_id and t name a row with the set's text; of repeated rows one is read. links adds up, over the rows of a set, to the
+    documents of other sets that are similar enough; to names a set that it is connected with, itself if there is none in
+    the block.
     """
     few = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
-    body = texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").withColumnRenamed("doc_id", "rep")
-    placed = dealt(body.join(few, "rep"), "n", "rep", BLOCK).select("root", "part", "other", "rep", "own", "copies", "d1", "text").repartition("root", "part", "other").sortWithinPartitions("root", "part", "other", "rep", "text")
+    named = few.select("rep", "root", "n", "copies", F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_none"), "t")
+    body = hashed(docs).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_none"), "t", "text")
+    once = body.join(named, ["_id", "_none", "t"]).groupBy("rep", "root", "n", "copies").agg(F.min("text").alias("text"))
+    placed = dealt(once, "n", "rep", BLOCK).select("root", "part", "other", "rep", "own", "copies", "text").repartition("root", "part", "other").sortWithinPartitions("root", "part", "other", "rep")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(it, 3):
             rep, own, copies = (t.column(k).to_numpy() for k in (3, 4, 5))
-            sets, keep = [], []
-            column = t.column(7).combine_chunks() if isinstance(t.column(7), pa.ChunkedArray) else t.column(7)
-            d1 = t.column(6).to_numpy()
-            for lo, hi, data, offsets in slices(column):
+            sets = []
+            for lo, hi, data, offsets in slices(t.column(6)):
                 text, start, end = words(data, offsets, ~WHITE)
-                for k, u in enumerate(shingles(text, span_hashes(data, start, end), hi - lo, WIDTH), lo):
-                    # of repeated ids the row that the class was made from, once
-                    if len(u) and int(mix(u + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) == d1[k] and not (keep and rep[keep[-1]] == rep[k]):
-                        sets.append(u)
-                        keep.append(k)
-            if not keep:
-                continue
-            rep, own, copies = rep[keep], own[keep], copies[keep]
+                sets += shingles(text, span_hashes(data, start, end), hi - lo, WIDTH)
             size = np.array([len(s) for s in sets])
             inter = overlaps(sets)
             close = inter >= similarity * (size[:, None] + size[None, :] - inter) - 1e-6
@@ -238,26 +243,37 @@ def verified(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame
     return placed.mapInArrow(task(run), "rep long, to long, links long")
 
 
-def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, class_id, n_links.
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, t (a hash of the text), class_id, class_t, n_links.
 
-    n_links is the number of other rows whose sets of word 5-grams have a Jaccard similarity of similarity or more;
-    class_id the smallest doc_id of the rows that are connected by such links. A text of fewer than five words has one
-    shingle, all of it; a text without words, or a null one, has no link and is its own class. Rows without
-    an id count as one id, and give null. An empty table gives an empty one; other columns are not read.
+    class_id and class_t name the first row of the class: that with the smallest doc_id, then the smallest t; a row without an
+    id comes after all others. Sets have numbers of their own, so repeated and missing ids keep their texts apart.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
     table = written(members(docs, similarity), "members")
     full = table.where("size > 0")
-    sets = written(full.groupBy("d1", "d2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "sets")
+    row = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "t")
+    grouped_sets = full.groupBy("d1", "d2", "size").agg(F.min(row).alias("row"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    sets = written(grouped_sets.withColumn("rep", F.monotonically_increasing_id()), "sets")
     groups = components(candidates(sets, similarity))
     counts = groups.groupBy("root").agg(F.count("*").alias("n"))
-    ready = written(groups.withColumnRenamed("node", "rep").join(counts, "root").join(sets.select("rep", "copies", "d1"), "rep").select("rep", "root", "n", "copies", "d1"), "groups")
+    ready = written(groups.withColumnRenamed("node", "rep").join(counts, "root").join(sets.select("rep", "copies", "row.doc_id", "row.t"), "rep").select("rep", "root", "n", "copies", "doc_id", "t"), "groups")
     found = written(verified(docs, ready, similarity), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "rep")
-    named = sets.select("d1", "d2", "size", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
-    named = named.select("d1", "d2", "size", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    linked = full.select("doc_id", "d1", "d2", "size").join(named, ["d1", "d2", "size"]).select("doc_id", "class_id", "n_links")
-    alone = table.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return linked.unionByName(alone).withColumn("doc_id", F.when(F.col("doc_id") != -1, F.col("doc_id")))
+    roots = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "rep")
+    first = roots.join(sets.select("rep", "row"), "rep").groupBy("root").agg(F.min("row").alias("first"))
+    named = sets.select("d1", "d2", "size", "rep", "copies", "row").join(links, "rep", "left").join(roots.join(first, "root").select("rep", "first"), "rep", "left")
+    named = named.select("d1", "d2", "size", F.coalesce("first", "row").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    linked = full.select("doc_id", "t", "d1", "d2", "size").join(named, ["d1", "d2", "size"]).select("doc_id", "t", F.col("first.doc_id").alias("class_id"), F.col("first.t").alias("class_t"), "n_links")
+    alone = table.where("size = 0").select("doc_id", "t", F.col("doc_id").alias("class_id"), F.col("t").alias("class_t"), F.lit(0).cast("long").alias("n_links"))
+    return linked.unionByName(alone)
+
+
+def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, class_id, n_links.
+
+    n_links is the number of other rows whose sets of word 5-grams have a Jaccard similarity of similarity or more;
+    class_id the smallest doc_id of the rows that are connected by such links, null if none of them has an id. A text of
+    fewer than five words has one shingle, all of it; a text without words, or a null one, has no link and is its own class.
+    Rows that repeat an id are rows like others. An empty table gives an empty one; other columns are not read.
+    """
+    return classes(docs, similarity).select("doc_id", "class_id", "n_links")

@@ -85,6 +85,25 @@ ORACLES = {
                CASE WHEN outcome = 'resolved' THEN s_digest ELSE q_digest END AS digest,
                CASE WHEN outcome = 'resolved' THEN 'cache-control=no-cache;content-type=text/html;date=now;etag=' || s_etag ELSE 'cache-control=no-cache;content-type=text/plain;date=now' END AS headers
         FROM judged""",
+    "op5_secret_linking": r"""
+        WITH t AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+        rules(kind, name, role, strong, pattern, least) AS (VALUES
+          (0, 'assign', 'secret', true, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0),
+          (1, 'access', 'access', true, 'AKIA[A-Z0-9]+', 18), (2, 'hex', 'secret', true, '[0-9a-f]+', 16),
+          (3, 'link_access', 'access', false, '(?i:client_?id|access_?key(?:_?id)?|user_?name|account)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9._@-]{6,}', 0),
+          (4, 'link_secret', 'secret', false, '[A-Za-z0-9+/=]+', 40), (5, 'link_endpoint', 'endpoint', false, 'https?://[^ \t\n\x0B\f\r"''<>]+', 0)),
+        cut AS (SELECT doc_id, r, kind, name, role, strong, least, regexp_extract_all(text, pattern) AS m, string_split_regex(text, pattern) AS g FROM t, rules WHERE regexp_matches(text, pattern)),
+        each AS (SELECT doc_id, r, kind, name, role, strong, least, unnest(m) AS m, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS k FROM cut),
+        ends AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY k) AS e FROM each),
+        part AS (SELECT r, kind, name, role, strong, e - length(m) AS s, e FROM ends
+          WHERE CASE kind WHEN 0 THEN length(regexp_extract(m, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 12
+                          WHEN 4 THEN length(m) = 40 AND NOT contains(m, '=') ELSE length(m) >= least END),
+        near AS (SELECT p.r, p.kind, p.s, p.e, bool_or(q.role = 'access') AS a, bool_or(q.role = 'secret') AS b FROM part p JOIN part q ON p.r = q.r AND greatest(p.s - q.e, q.s - p.e) BETWEEN 0 AND 200 WHERE NOT p.strong GROUP BY ALL),
+        kept AS (SELECT p.* FROM part p LEFT JOIN near n USING (r, kind, s, e)
+          WHERE p.strong OR (p.role <> 'secret' AND NOT p.role = 'endpoint' AND n.b) OR (p.role = 'secret' AND n.a) OR (p.role = 'endpoint' AND n.a AND n.b)),
+        shown AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+          string_agg(concat(name, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)), ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(concat(name, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)), ',' ORDER BY s, kind, e) AS spans FROM kept GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN shown USING (r)""",
     "op3_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,

@@ -117,6 +117,17 @@ def test_odd_tables(spark):
     assert sorted((r["doc_id"] or -1, r["n_links"]) for r in got) == [(-1, 0), (-1, 0), (3, 0)]
 
 
+def test_missing_and_repeated_ids(spark):
+    near = [f"w{k}" for k in range(100)]
+    a, b = " ".join(near), " ".join([*near[:50], "x", *near[51:]])
+    rows = [(None, a), (None, b), (None, "one two three four five six"), (None, b), (-1, "m n o p q r"), (-1, "m n o p q r s t u v"), (7, b), (7, "other words of the same id here"), (8, a), (8, a)]
+    got = sorted(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    want = [(None, 7, 5), (None, 7, 5), (None, 7, 5), (None, None, 0), (-1, -1, 0), (-1, -1, 0), (7, 7, 5), (7, 7, 0), (8, 7, 5), (8, 7, 5)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    alone = jaccard.jaccard_join(spark.createDataFrame([(None, a), (None, b), (-1, None)], "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, alone))) == sorted(map(str, [(None, None, 1), (None, None, 1), (-1, -1, 0)]))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 150), (7, 7)] + [(300, k) for k in range(301, 330)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
