@@ -44,9 +44,58 @@ def test_verification_by_broadcast_and_by_shuffle(spark, monkeypatch, limit):
 def test_a_digest_of_two_texts_is_split(spark):
     rows = [(1, "aa"), (2, "a a"), (3, "bb")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    runs = exact.flush(docs)
-    index = exact.compact(runs)
-    found = exact.probe(runs, index)
+    found = exact.digests(docs).selectExpr("doc_id", "digest", "0L as keep_id", "9L as group_size")
     d = found.where("doc_id = 1").first()["digest"]
     again = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact.regrouped(docs, found, [bytes(d)]).collect()}
-    assert again == {1: (2, 2), 2: (2, 2), 3: (3, 1)}
+    assert again == {1: (2, 2), 2: (2, 2), 3: (0, 9)}
+
+
+def entries(df):
+    return {bytes(r["digest"]): (r["keep_id"], r["n"], r["copies"]) for r in df.collect()}
+
+
+def test_bytes_that_differ_are_found(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (None, "ab "), (3, "c")], "doc_id long, text string")
+    d = exact.digests(docs).where("doc_id = 1").select("digest")
+    hits = d.selectExpr("digest", "1L as keep_id", "3L as copies")
+    assert exact.differing(docs, hits, 1).count() == 0
+    wrong = exact.digests(docs).where("doc_id = 3").selectExpr("digest", "1L as keep_id", "2L as copies")
+    assert exact.differing(docs, hits.unionByName(wrong), 2).count() == 0  # the row that stays has no such text: nothing to compare with
+
+
+def test_batches_give_the_index_of_one_batch(spark, monkeypatch):
+    monkeypatch.setattr(exact, "FANOUT", 3)
+    docs = spark.createDataFrame([(i, f"text {i % 17}" + " " * (i % 3)) for i in range(120)] + [(None, "text 5")], "doc_id long, text string")
+    rows = exact.digests(docs)
+    whole, parts = exact.Index(spark), exact.Index(spark)
+    whole.add(rows)
+    sizes = []
+    for k in range(7):
+        parts = exact.Index.open(spark, parts.path)  # another session goes on with it
+        parts.add(rows.where(f"coalesce(doc_id, 0) % 7 = {k}"))
+        sizes.append(sorted(r.level for r in parts.runs))
+    assert sizes == [[0], [0, 0], [1], [0, 1], [0, 0, 1], [1, 1], [0, 1, 1]]
+    want = entries(whole.runs[0].entries())
+    assert entries(parts.lookup(rows)) == want
+    some = rows.where("doc_id < 3")
+    assert set(entries(parts.lookup(some))) == {bytes(r["digest"]) for r in some.collect()}
+    assert parts.lookup(exact.digests(spark.createDataFrame([(1, "unseen")], "doc_id long, text string"))).count() == 0
+    assert entries(parts.compact().entries()) == want
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_filters_hold_every_digest_and_few_others(spark, monkeypatch, limit):
+    monkeypatch.setattr(exact, "BROADCAST_WORDS", limit)
+    rows = exact.digests(spark.createDataFrame([(i, f"t{i}") for i in range(4000)], "doc_id long, text string"))
+    own, other = rows.where("doc_id < 2000"), rows.where("doc_id >= 2000")
+    made = exact.filter_of(own, 500)
+    assert exact.passing(own, made, 500).where("_maybe").count() == 2000
+    assert exact.passing(other, made, 500).where("_maybe").count() <= (100 if limit else 2000)
+
+
+def test_hot_digests_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(exact, "BROADCAST_HITS", 0)
+    monkeypatch.setattr(exact, "HOT_ROWS", 10)
+    rows = [(i, "hot") for i in range(30)] + [(100 + i, f"twice {i // 2}") for i in range(12)] + [(200, "alone")]
+    got = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
