@@ -10,6 +10,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 import numpy as np
@@ -26,8 +27,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that operators wrote in between. What is still to be read has to be written outside."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder named in spark.checkpoint.dir.
+    """A new path below the shared folder named in spark.checkpoint.dir; inside temporary(), it goes at the end.
 
     Where that is unset: the warehouse on a cluster, and a temporary folder if driver and executors are one process.
     """
@@ -35,23 +55,24 @@ def scratch(spark: SparkSession, what: str) -> str:
     if not root:
         alone = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
         root = os.path.join(tempfile.gettempdir(), "plumbline-scratch") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
 
 
-def written(df: DataFrame, what: str, **options: str) -> DataFrame:
+def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and no executor holds the only copy."""
     spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.options(**options).parquet(path)
+    path = path or scratch(spark, what)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a written table that nothing reads any more."""
-    spark = df.sparkSession
     for f in df.inputFiles()[:1]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, f.rsplit("/", 1)[0])
 
 
 def texts(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:

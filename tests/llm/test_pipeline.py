@@ -39,8 +39,55 @@ def test_stages(spark, data):
 
 
 def test_run(spark, data):
+    import glob
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
     got = corpus_pipeline.run(spark, data)
     assert got.count() > 100 and "sequence_id" in got.columns
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert left <= {"mask_pii", "pieces"}, left  # the rest is deleted
+    assert glob.glob(f"{folder}/pieces-*")
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, t int, sketch binary"
+
+
+def rows(*some):
+    return [(i, t, "en", "s", len(t or ""), "k", 1, b"") for i, t in some]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_empty_tables(spark, data, name):
+    out = dict(corpus_pipeline.STAGES)[name](spark, spark.createDataFrame([], SCHEMA), data)
+    assert out.count() == 0
+
+
+def test_repeated_rows_and_ids_and_nulls(spark, data):
+    stage = dict(corpus_pipeline.STAGES)
+    a, b = "one two three four five six seven", "quite another text of some words"
+    some = [(1, a), (1, a), (1, a), (1, "one  two three four five six  seven"), (2, b), (1, b), (None, a), (None, "alone with no id here at all"), (None, "alone with no id here at all"), (3, None), (4, ""), (3, None)]
+    docs = spark.createDataFrame(rows(*some), SCHEMA)
+    got = stage["exact_dedup"](spark, docs, data)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, "one  two three four five six  seven"), (1, b), (None, "alone with no id here at all"), (3, None)], key=str)
+    near = stage["near_dedup"](spark, docs, data)
+    assert near.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=str)
+    assert [k for k in kept if k[0] is None] == [(None, "alone with no id here at all")] and len([k for k in kept if k[0] == 1]) == 2
+    assert len(kept) == 5  # one of each text, and of the null and empty ones, which have no near copies, one for each id
+    masked = stage["mask_pii"](spark, spark.createDataFrame(rows((1, "to a@b.cd"), (1, "to a@b.cd"), (None, None)), SCHEMA), data).collect()
+    assert sorted((r["text"] for r in masked), key=str) == [None, "to [EMAIL]", "to [EMAIL]"]
+    packed = stage["pack"](spark, spark.createDataFrame(rows((1, "x y"), (1, "x y"), (None, None)), SCHEMA), data).collect()
+    assert sorted(r["length"] for r in packed) == [1, 3, 3]
+
+
+def test_copies_are_dropped_by_broadcast_or_shuffle(spark, data, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", 0)
+    docs = spark.createDataFrame(rows((1, "a b"), (2, "ab"), (1, "a b"), (3, "c")), SCHEMA)
+    got = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, docs, data).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, "a b"), (3, "c")]
 
 
 def test_registered():
