@@ -29,8 +29,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 TRIGGER = re.compile(r"[0-9@]")
 #: The training sample; the windows, which overlap by WIDTH - STRIDE; places decoded beside an open one; windows scored at once.
-SAMPLE_TEXTS, WIDTH, STRIDE, REACH, BATCH = 384, 128, 96, 64, 512
-EMBED, HIDDEN = 12, 20
+SAMPLE_TEXTS, WIDTH, STRIDE, REACH, BATCH = 384, 160, 128, 64, 512
+EMBED, HIDDEN = 12, 16
+#: Rows read at once.
+ROWS = 256
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
@@ -86,7 +88,7 @@ _fold[ord("A") : ord("Z") + 1] = _fold[ord("a") : ord("z") + 1]
 def classes(text: str) -> np.ndarray:
     """Code points as classes: ASCII from 2 on, digits and cases of a letter as one; other letters 0, the rest 1."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(c < 128, _fold[np.minimum(c, 127)], c > 0x2FF).astype(np.int64)
+    return np.where(c < 128, _fold[np.minimum(c, 127)], c > 0x2FF).astype(np.uint8)
 
 
 @dataclass
@@ -274,12 +276,12 @@ def training_set(some: list[str], rng: np.random.Generator) -> tuple[np.ndarray,
         anywhere = rng.integers(0, max(1, len(new)), 3).tolist()
         for p in [*centres[:: max(1, len(centres) // 12)], *anywhere]:
             lo = max(0, min(p - int(rng.integers(WIDTH - 16)), len(new) - WIDTH))
-            x, y = np.full(WIDTH, PAD), np.zeros(WIDTH, np.int64)
+            x, y = np.full(WIDTH, PAD, np.uint8), np.zeros(WIDTH, np.int64)
             n = min(WIDTH, len(new) - lo)
             x[:n], y[:n] = c[lo : lo + n], t[lo : lo + n]
             xs.append(x)
             ys.append(y)
-    return np.array(xs, np.int64).reshape(-1, WIDTH), np.array(ys, np.int64).reshape(-1, WIDTH)
+    return np.array(xs, np.uint8).reshape(-1, WIDTH), np.array(ys, np.int64).reshape(-1, WIDTH)
 
 
 def train(some: list[str], seed: int = 5, steps: int = 500, batch: int = 64, rate: float = 0.02, windows: int = 2000, draws: int = 64) -> Net:
@@ -358,7 +360,10 @@ class Reader:
 
     def open(self, e: np.ndarray) -> np.ndarray:
         """Places whose scores let a tag other than the outside one be on a best path; each span on one holds such a place."""
-        return (e[..., 1:] - e[..., :1] + self.gain).max(-1) > 0
+        most = e[..., 1] + self.gain[0]
+        for k in range(2, TAGS):
+            np.maximum(most, e[..., k] + self.gain[k - 1], out=most)
+        return most > e[..., 0]
 
 
 _ramp = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float32)[:, None]
@@ -377,7 +382,7 @@ def open_chains(reader: Reader, chains: list[np.ndarray]) -> Iterator[tuple[int,
     """
     size = np.array([len(c) for c in chains], np.int64)
     first = np.concatenate([[0], np.cumsum(size)])
-    every = np.concatenate([*chains, np.full(1, PAD)])
+    every = np.concatenate([*chains, np.full(1, PAD, np.uint8)])
     at = [starts(int(n)) if n else np.zeros(0, np.int64) for n in size]
     chain, lo = np.repeat(np.arange(len(chains)), [len(a) for a in at]), np.concatenate([np.zeros(0, np.int64), *at])
     kept: dict[int, np.ndarray] = {}
@@ -536,7 +541,7 @@ def scan(docs: DataFrame, net: Net | None = None) -> DataFrame:
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.string()] * 2, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[f.split(" ")[0] for f in FOUND.split(", ")])
 
-    return texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(task(run), FOUND)
+    return texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(task(run, ROWS), FOUND)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -565,4 +570,4 @@ def redact(docs: DataFrame, net: Net | None = None) -> DataFrame:
                 columns[size] = pa.array([c if t is None or t == g else len(t) for t, g, c in zip(new, given, b.column(size).to_pylist(), strict=True)], b.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(task(run), docs.schema)
+    return docs.mapInArrow(task(run, ROWS), docs.schema)
