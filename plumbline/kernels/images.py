@@ -117,6 +117,7 @@ def flow(a: np.ndarray, b: np.ndarray, points: np.ndarray, window: int, levels:
     pyramid = [(a.astype(float), b.astype(float))]
     for _ in range(levels):
         pyramid.append(tuple(correlate(i, PYRAMID, PYRAMID)[::2, ::2] for i in pyramid[-1]))
+    slopes = [(correlate(i, DERIVATIVE, SCHARR), correlate(i, SCHARR, DERIVATIVE)) for i, _ in pyramid]
     h = window // 2
     oy, ox = np.mgrid[-h : h + 1, -h : h + 1]
     out = np.zeros_like(points)
@@ -124,8 +125,7 @@ def flow(a: np.ndarray, b: np.ndarray, points: np.ndarray, window: int, levels:
         p = points[lo : lo + 512]
         move = np.zeros_like(p)
         for level in range(levels, -1, -1):
-            i, j = pyramid[level]
-            gx, gy = correlate(i, DERIVATIVE, SCHARR), correlate(i, SCHARR, DERIVATIVE)
+            (i, j), (gx, gy) = pyramid[level], slopes[level]
             at, move = p / 2**level, move * 2
             x, y = at[:, 0, None, None] + ox, at[:, 1, None, None] + oy
             t, dx, dy = sample(i, x, y), sample(gx, x, y), sample(gy, x, y)
@@ -140,7 +140,6 @@ def flow(a: np.ndarray, b: np.ndarray, points: np.ndarray, window: int, levels:
                 e = t[k] - sample(j, x[k] + move[k, 0, None, None], y[k] + move[k, 1, None, None])
                 bx, by = (e * dx[k]).sum((1, 2)), (e * dy[k]).sum((1, 2))
                 step = np.stack([(syy[k] * bx - sxy[k] * by) / det[k], (sxx[k] * by - sxy[k] * bx) / det[k]], 1)
-                step *= 1 / 1.0
                 move[k] += step
                 live[k] = np.hypot(step[:, 0], step[:, 1]) >= eps
         out[lo : lo + 512] = p + move

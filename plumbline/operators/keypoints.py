@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,23 +77,29 @@ def excluded_counts(kp: DataFrame, reference: DataFrame, monitored: DataFrame, n
     return got.withColumn("removed_pct", r8(F.try_divide(F.lit(100.0) * F.col("removed"), F.col("total"))))
 
 
-def outlier_bounds(kp: DataFrame, most_rounds: int = 100) -> Column:
+def outlier_bounds(kp: DataFrame) -> Column:
     """The condition that is left when points away from the mean are removed again and again.
 
     Each round keeps what lies within three population deviations and 20 pixels of the mean, on both axes. The rounds'
-    conditions are intervals, so that what survives all of them lies in their intersection: a round is one aggregate
-    over the source, and nothing is kept between rounds but four numbers. Where no deviation is left, no point is.
+    conditions are intervals, so that what survives all of them lies in their intersection, four numbers: a round is one
+    aggregate over two columns of the source, whatever the rounds before. The number of points falls with each round but the
+    last. Where no deviation is left, no point is.
     """
-    keep, n = F.lit(True), -1
-    for _ in range(most_rounds):
-        m = kp.where(keep).agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("dx", "dy") for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-        if m["n"] in (n, 0):
+    columns = ("dx", "dy")
+    moves = kp.select(*columns)
+    low, high, n = dict.fromkeys(columns, -math.inf), dict.fromkeys(columns, math.inf), -1
+    while True:
+        keep = F.lit(True)
+        for c in columns:
+            if math.isfinite(low[c]):
+                keep = keep & (F.col(c) > low[c]) & (F.col(c) < high[c])
+        m = moves.where(keep).agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        if m["n"] in (n, 0) or any(m[f"m_{c}"] is None for c in columns):
             return keep
         n = m["n"]
-        for c in ("dx", "dy"):
-            away = F.abs(F.col(c) - F.lit(m[f"m_{c}"]))
-            keep = keep & (away < F.lit(SIGMAS * m[f"s_{c}"])) & (away < FAR)
-    return keep
+        for c in columns:
+            away = min(SIGMAS * m[f"s_{c}"], FAR)
+            low[c], high[c] = max(low[c], m[f"m_{c}"] - away), min(high[c], m[f"m_{c}"] + away)
 
 
 def without_outliers(kp: DataFrame) -> DataFrame:

@@ -80,11 +80,12 @@ def match_tile(ref: np.ndarray, mon: np.ndarray, mask: np.ndarray, s: Settings)
     return best[1] if best else None
 
 
-def match(pairs: DataFrame, width: int, height: int, s: Settings, mask: DataFrame | None = None, ref_nodata: float | None = None, mon_nodata: float | None = None) -> DataFrame:
+def match(pairs: DataFrame, width: int, height: int, s: Settings, mask: DataFrame | None = None, ref_nodata: float | None = None, mon_nodata: float | None = None, kinds: tuple[str, str] = ("float64", "float64")) -> DataFrame:
     """Key points of two images given as pixels (x, y, ref, mon), one task for each tile.
 
     Without a mask, pixels that are zero, not finite or no-data in either image are not valid; a tile without a valid
-    pixel gives nothing. Each tile is stretched by itself, so the tile size is part of the result.
+    pixel gives nothing. Each tile is stretched by itself, so the tile size is part of the result; images of bytes (kinds
+    names the types of the reference and the monitored image) stay as they are.
     """
     from .raster import tile_of, with_valid
 
@@ -99,7 +100,8 @@ def match(pairs: DataFrame, width: int, height: int, s: Settings, mask: DataFram
         images = np.zeros((3, h, w))
         for k, c in enumerate(("ref", "mon", "valid")):
             images[k, t["y"] - y_off, t["x"] - x_off] = t[c]
-        kp = match_tile(images[0], images[1], images[2], s) if images[2].any() else None
+        both = [im.astype(np.uint8) if kind == "uint8" else im for im, kind in zip(images, kinds, strict=False)]
+        kp = match_tile(*both, images[2], s) if images[2].any() else None
         if kp is None:
             return pd.DataFrame({c: [] for c in names})
         kp = kp.assign(tile_x=key[0], tile_y=key[1], x0=kp["x0"] + x_off, y0=kp["y0"] + y_off)

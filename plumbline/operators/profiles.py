@@ -25,6 +25,11 @@ def std_band(profile: DataFrame) -> DataFrame:
     return df.withColumn("lo", F.col("mean") - band).withColumn("hi", F.col("mean") + band).drop("_g", "_n", "_s")
 
 
+def axis_limits(profile: DataFrame) -> DataFrame:
+    """One row: the limit of the mean's axis, one more than the whole part of the largest mean, and the largest count."""
+    return profile.agg((F.floor(F.max(F.abs("mean"))) + 1).alias("mean_limit"), F.max("n").alias("most"))
+
+
 def by_altitude(kp_alt: DataFrame, value: str, bin_size: int = 100, factor: float = 1.0) -> DataFrame:
     """The profile by altitude, with the root mean square of each bin."""
     p = mean_profile(kp_alt.withColumn("_v", F.col(value) * factor), "_v", "alt", bin_size)

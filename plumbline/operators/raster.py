@@ -48,16 +48,17 @@ def combined(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumnRenamed("m", "a").join(b.withColumnRenamed("m", "b"), ["x", "y"]).agg(F.count("*").alias("total"), F.count_if(F.col("a") != 0).alias("raster_valid"), F.count_if(F.col("b") != 0).alias("vector_valid"), F.count_if((F.col("a") != 0) & (F.col("b") != 0)).alias("both_valid"))
 
 
-def rasterized(grid: DataFrame, rings: list[list[tuple[float, float]]]) -> DataFrame:
+def rasterized(grid: DataFrame, polygons: list[list[list[tuple[float, float]]]]) -> DataFrame:
     """m = 1 for each cell of grid (x, y) that a polygon touches: its unit square meets the polygon.
 
-    A cell is touched if its centre is inside, a vertex of the ring is in it, or an edge crosses it. Rings are few and
-    become conditions of the plan; there is no join.
+    A polygon is a list of rings, outer ones and holes. A cell is touched if its centre is inside an odd number of a polygon's
+    rings, or a vertex or an edge of one is in it. Rings are few and become conditions of the plan; there is no join.
     """
     hit: Column = F.lit(False)
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    for ring in rings:
-        edges = list(zip(ring, ring[1:] + ring[:1], strict=True))
+    for rings in polygons:
+        edges = [e for ring in rings for e in zip(ring, ring[1:] + ring[:1], strict=True)]
+        points = [p for ring in rings for p in ring]
         inside: Column = F.lit(0)
         touch: Column = F.lit(False)
         for (ax, ay), (bx, by) in edges:
@@ -71,9 +72,9 @@ def rasterized(grid: DataFrame, rings: list[list[tuple[float, float]]]) -> DataF
                     t1, t2 = (c - p) / d, (c + 1 - p) / d
                     lo, hi = F.greatest(lo, F.least(t1, t2)), F.least(hi, F.greatest(t1, t2))
                 else:
-                    hi = F.when((F.lit(p) < c) | (F.lit(p) > c + 1), F.lit(-1.0)).otherwise(hi)
+                    hi = F.when((F.lit(p) < c) | (F.lit(p) >= c + 1), F.lit(-1.0)).otherwise(hi)
             touch = touch | (lo < hi)
-        box = (x + 1 > min(p[0] for p in ring)) & (x < max(p[0] for p in ring)) & (y + 1 > min(p[1] for p in ring)) & (y < max(p[1] for p in ring))
+        box = (x + 1 > min(p[0] for p in points)) & (x < max(p[0] for p in points)) & (y + 1 > min(p[1] for p in points)) & (y < max(p[1] for p in points))
         hit = hit | (box & ((inside % 2 == 1) | touch))
     return grid.select("x", "y", hit.cast("int").alias("m"))
 

@@ -16,6 +16,8 @@ THRESHOLD = 0.4
 
 def geometric(kp: DataFrame, threshold: float | None = THRESHOLD, flip_y: bool = True) -> DataFrame:
     """One row: count, and least, largest, median, mean and population deviation of dx, dy and score. Northing is up if flip_y."""
+    if missing := [c for c in ("dx", "dy", "score") if c not in kp.columns]:
+        raise ValueError(f"key points lack {missing}; they have {kp.columns}")
     c = confident(kp, threshold).withColumn("dy", -F.col("dy") if flip_y else F.col("dy"))
     out = [F.count("*").alias("n")]
     for name in ("dx", "dy", "score"):
@@ -43,9 +45,9 @@ def rmse(kp: DataFrame, threshold: float | None = THRESHOLD, factor: float = 1.0
     return m.select("rmse_x", "rmse_y", F.sqrt(F.col("rmse_x") ** 2 + F.col("rmse_y") ** 2).alias("rmse"))
 
 
-def accuracy(kp: DataFrame, threshold: float = THRESHOLD, factor: float = 1.0) -> DataFrame:
+def accuracy(kp: DataFrame, threshold: float = THRESHOLD, factor: float = 1.0, flip_y: bool = True) -> DataFrame:
     """The accuracy row: statistics, root mean squares and circular errors."""
-    row = geometric(kp, threshold).crossJoin(rmse(kp, threshold, factor))
+    row = geometric(kp, threshold, flip_y).crossJoin(rmse(kp, threshold, factor))
     for p in (90, 95):
         row = row.crossJoin(circular_error(kp, p / 100, factor, threshold).withColumnRenamed("ce", f"ce{p}"))
     return row
@@ -149,13 +151,36 @@ def mode(votes: DataFrame, value: list[str], order: str) -> DataFrame:
     return got.orderBy(F.desc("votes"), "first").limit(1)
 
 
-def stat_line(row: DataFrame, ref: str, mon: str, valid: DataFrame, threshold: float = THRESHOLD, digits: int = 4) -> DataFrame:
-    """The space-separated line of the statistics file."""
+def stat_line(row: DataFrame, ref: str, mon: str, valid: DataFrame, threshold: float = THRESHOLD, digits: int | None = 4) -> DataFrame:
+    """The space-separated line of the statistics file; without a number of digits, with all that tell a value."""
     parts = [F.lit(ref), F.lit(mon), F.col("valid_pixels"), F.col("n"), F.lit(f"{threshold}")]
-    parts += [F.format_string(f"%.{digits}f", F.col(f"{k}_{c}")) for c in ("dx", "dy") for k in ("min", "max", "median", "mean", "std")]
+    show = lambda c: F.col(c).cast("string") if digits is None else F.format_string(f"%.{digits}f", F.col(c))
+    parts += [show(f"{k}_{c}") for c in ("dx", "dy") for k in ("min", "max", "median", "mean", "std")]
     return row.crossJoin(valid).select(F.concat_ws(" ", *parts).alias("line"))
 
 
+#: The lines of the block beside a figure, as (label, column), after confidence and share of pixels.
+BLOCK_X = ((" Conf_Value : ", ""), (" %Conf Px   :", "%"), ("Minimum    : ", "min"), ("Maximum   : ", "max"), ("Mean          : ", "mean"), ("Std Dev      : ", "std"), ("Median       : ", "median"))
+BLOCK_Y = ((" Conf_Value :", ""), *BLOCK_X[1:])
+
+
+def stat_block(row: DataFrame, pct: DataFrame, factor: float = 1.0, threshold: float = THRESHOLD) -> DataFrame:
+    """The text block of each direction: confidence, share of pixels, and the statistics times a pixel size."""
+    out = []
+    for direction, c, labels in (("x", "dx", BLOCK_X), ("y", "dy", BLOCK_Y)):
+        shown = {"": F.lit(threshold), "%": F.col("pct_pixel")}
+        lines = [F.concat(F.lit(label), F.format_string("%.2f", shown.get(k, F.col(f"{k}_{c}") * factor if k not in shown else None)), F.lit("%" if k == "%" else "")) for label, k in labels]
+        out.append(F.struct(F.lit(direction).alias("direction"), F.concat_ws("\n ", *lines).alias("block")))
+    return row.crossJoin(pct).select(F.explode(F.array(*out)).alias("b")).select("b.*")
+
+
+def prior_errors(matches: DataFrame, prior: list[list[float]]) -> DataFrame:
+    """One row: median, least and largest distance of matches (x_mon, y_mon, x_ref, y_ref) from where an affine prior puts them."""
+    at = [F.lit(r[0]) * F.col("x_mon") + F.lit(r[1]) * F.col("y_mon") + F.lit(r[2]) for r in prior[:2]]
+    e = matches.select(F.sqrt((F.col("x_ref") - at[0]) ** 2 + (F.col("y_ref") - at[1]) ** 2).alias("e"))
+    return e.agg(F.median("e").alias("median"), F.min("e").alias("least"), F.max("e").alias("largest"))
+
+
 def max_window(df: DataFrame, by: list[str], order: list) -> DataFrame:
     """The first row of each group in an order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")

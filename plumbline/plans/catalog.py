@@ -214,7 +214,7 @@ SELECT x, y, CAST(crossings % 2 = 1 OR touched = 1 AS INT) AS m FROM t"""
 
 @query(_ring_sql())
 def rasterize_mask(spark, d):
-    return R.rasterized(X.reference_pixels(spark, d), RINGS)
+    return R.rasterized(X.reference_pixels(spark, d), [RINGS])
 
 
 @query("+k(v) AS (VALUES (3),(5),(7),(9),(11)) SELECT a.v AS mon_k, b.v AS ref_k FROM k a, k b")
@@ -256,6 +256,24 @@ def chip_cards(spark, d):
 # --- statistics
 
 
+@query("""+p AS (SELECT count(*) FILTER (score > 0.4) * 100.0 / 32000 AS pct FROM kp),
+m AS (SELECT 'x' AS direction, min(dx) AS a, max(dx) AS b, avg(dx) AS c, stddev_pop(dx) AS s, median(dx) AS e FROM conf
+UNION ALL SELECT 'y', min(-dy), max(-dy), avg(-dy), stddev_pop(-dy), median(-dy) FROM conf)
+SELECT direction, concat(' Conf_Value :', CASE direction WHEN 'x' THEN ' ' ELSE '' END, '0.40', chr(10), '  %Conf Px   :', printf('%.2f', pct), '%', chr(10), ' Minimum    : ', printf('%.2f', a*10), chr(10), ' Maximum   : ', printf('%.2f', b*10), chr(10),
+' Mean          : ', printf('%.2f', c*10), chr(10), ' Std Dev      : ', printf('%.2f', s*10), chr(10), ' Median       : ', printf('%.2f', e*10)) AS block FROM m, p""")
+def stat_block(spark, d):
+    valid = X.reference_pixels(spark, d).agg(F.count("*").alias("valid_pixels"))
+    kp = X.key_points(spark, d)
+    return T.stat_block(T.geometric(kp), T.percentages(kp, valid), 10.0)
+
+
+@query("""+e AS (SELECT sqrt((x0 - (1.01*(x0+dx) + 0.02*(y0+dy) + 1.5))**2 + (y0 - (-0.015*(x0+dx) + 0.99*(y0+dy) - 2.25))**2) AS e FROM kp)
+SELECT round(median(e), 8) AS median, round(min(e), 8) AS least, round(max(e), 8) AS largest FROM e""")
+def prior_match_error(spark, d):
+    matches = X.key_points(spark, d).select((F.col("x0") + F.col("dx")).alias("x_mon"), (F.col("y0") + F.col("dy")).alias("y_mon"), F.col("x0").alias("x_ref"), F.col("y0").alias("y_ref"))
+    return rounded(T.prior_errors(matches, HOMOGRAPHY))
+
+
 def _five(c: str, e: str) -> str:
     return f"round(min({e}), 8) AS min_{c}, round(max({e}), 8) AS max_{c}, round(median({e}), 8) AS median_{c}, round(avg({e}), 8) AS mean_{c}, round(stddev_pop({e}), 8) AS std_{c}"
 
@@ -409,6 +427,11 @@ def profile_dx_by_col(spark, d):
     return rounded(P.mean_profile(X.key_points(spark, d), "dx", "x0", 20))
 
 
+@query("+" + _profile("dx", "x0", 20) + " SELECT CAST(floor(max(abs(mean))) AS BIGINT) + 1 AS mean_limit, max(n) AS most FROM prof")
+def profile_axis_limits(spark, d):
+    return P.axis_limits(P.mean_profile(X.key_points(spark, d), "dx", "x0", 20))
+
+
 @query("+" + _profile("dx", "y0", 20) + _SHOW_PROFILE)
 def profile_dx_by_row(spark, d):
     return rounded(P.mean_profile(X.key_points(spark, d), "dx", "y0", 20))

@@ -9,18 +9,18 @@ WIDTH, HEIGHT = 200, 160
 
 #: Common table expressions for the SQL side.
 SQL = """
-kp AS (SELECT event_id AS kp_id, CAST(event_id % 200 AS DOUBLE) AS x0,
+kp AS MATERIALIZED (SELECT event_id AS kp_id, CAST(event_id % 200 AS DOUBLE) AS x0,
   CAST((CAST(floor(event_id/CAST(200 AS DOUBLE)) AS BIGINT)*37) % 160 AS DOUBLE) AS y0,
   (value-CAST(60 AS DOUBLE))/CAST(40 AS DOUBLE) AS dx,
   (CAST((event_id*53)%601 AS DOUBLE)-CAST(300 AS DOUBLE))/CAST(150 AS DOUBLE) AS dy,
   CAST((event_id*29)%11 AS DOUBLE)/CAST(10 AS DOUBLE) AS score FROM events),
 conf AS (SELECT * FROM kp WHERE score > CAST(0.4 AS DOUBLE)),
-px_ref AS (SELECT CAST(a.p_partkey AS BIGINT) AS x, CAST(b.p_partkey AS BIGINT) AS y,
+px_ref AS MATERIALIZED (SELECT CAST(a.p_partkey AS BIGINT) AS x, CAST(b.p_partkey AS BIGINT) AS y,
   CAST((a.p_size*b.p_size + 3*a.p_partkey + 5*b.p_partkey) % 251 AS BIGINT) AS dn
   FROM part a CROSS JOIN part b WHERE a.p_partkey < 200 AND b.p_partkey < 160),
-px_mon AS (SELECT g.x, g.y, COALESCE(r.dn + (g.x*7+g.y*11)%5, 0) AS dn
+px_mon AS MATERIALIZED (SELECT g.x, g.y, COALESCE(r.dn + (g.x*7+g.y*11)%5, 0) AS dn
   FROM px_ref g LEFT JOIN px_ref r ON r.x = g.x-2 AND r.y = g.y-3),
-dem AS (SELECT CAST(a.p_partkey AS BIGINT) AS x, CAST(b.p_partkey AS BIGINT) AS y, CAST(a.p_size*37 + b.p_size*23 AS DOUBLE) AS alt
+dem AS MATERIALIZED (SELECT CAST(a.p_partkey AS BIGINT) AS x, CAST(b.p_partkey AS BIGINT) AS y, CAST(a.p_size*37 + b.p_size*23 AS DOUBLE) AS alt
   FROM part a CROSS JOIN part b WHERE a.p_partkey < 200 AND b.p_partkey < 160)
 """
 

@@ -99,7 +99,7 @@ class Workflow:
             found.append(m.pixels.select("x", "y", (F.col("dn") != 0).cast("int").alias("m")))
         if vector:
             gt = mon.header.gt or [0, 1, 0, 0, 0, 1]
-            found.append(raster.rasterized(mon.pixels, [tables.to_pixels(r, gt) for r in tables.rings(vector)]))
+            found.append(raster.rasterized(mon.pixels, [[tables.to_pixels(r, gt) for r in p] for p in tables.polygons(vector)]))
         if len(found) == 2:
             a, b = found
             return a.join(b.withColumnRenamed("m", "_b"), ["x", "y"]).select("x", "y", (F.col("m") * F.col("_b")).alias("m"))
@@ -108,6 +108,11 @@ class Workflow:
     def _csv(self, mon: Image, ref: Image) -> str:
         return str(self.out / f"KLT_matcher_{mon.name}_{ref.name}.csv")
 
+    def _stored(self, path: str) -> bool:
+        """Whether a path is there in the file system that Spark writes to."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
     def _sink(self, df: DataFrame, grid: Image, name: str, kind: str, nodata: float | None) -> None:
         """A table of pixels as a raster on an image's grid; the values keep their type."""
         w = df.coalesce(1).write.format("geotiff").mode("append").option("width", grid.width).option("height", grid.height).option("dtype", kind)
@@ -121,6 +126,10 @@ class Workflow:
         mon, ref = Image.open(self.spark, monitored), Image.open(self.spark, reference)
         if not mon.fits(ref):
             raise RasterError("the images do not share a grid")
+        for what, image in (("monitored", mon), ("reference", ref)):
+            low, high = image.pixels.where("not isnan(cast(dn as double))").agg(F.percentile("dn", [0.02, 0.98]).alias("p")).first()["p"] or (0, 0)
+            if high - low <= 10:
+                log.warning("low dynamic range of the %s image: results can be poor", what)
         r, klt = self.runtime, self.processing.klt
         m = self._mask(mon, mask, vector)
         pairs = raster.zipped(ref.pixels, mon.pixels)
@@ -134,8 +143,8 @@ class Workflow:
                 self._sink(moved, mon, f"{mon.name}_shifted.tif", mon.header.dtype.newbyteorder("=").name, mon.header.nodata)
                 pairs = raster.zipped(ref.pixels, moved)
         path = self._csv(mon, ref)
-        if not (resume and Path(path).exists()):
-            kp = matching.match(pairs, mon.width, mon.height, klt.settings(), m, ref.header.nodata, mon.header.nodata)
+        if not (resume and self._stored(path)):
+            kp = matching.match(pairs, mon.width, mon.height, klt.settings(), m, ref.header.nodata, mon.header.nodata, (ref.header.dtype.name, mon.header.dtype.name))
             kp = keypoints.enrich(kp.withColumn("kp_id", F.xxhash64("x0", "y0")))
             if shift is None:
                 t = self.processing.accuracy.confidence_threshold
@@ -154,9 +163,10 @@ class Workflow:
         t = self.processing.accuracy.confidence_threshold
         mask = found.mask if found.mask is not None else self.spark.createDataFrame([], "x long, y long, m int")
         valid = raster.valid_count(found.monitored.pixels, mask)
-        row = stats.accuracy(found.key_points, t, factor).first().asDict()
+        up = found.reference.header.epsg is not None  # northing grows upwards where there is a reference system
+        row = stats.accuracy(found.key_points, t, factor, up).first().asDict()
         px = valid.first()
-        line = stats.stat_line(stats.geometric(found.key_points, t), found.reference.name, found.monitored.name, valid, t).first()["line"]
+        line = stats.stat_line(stats.geometric(found.key_points, t, up), found.reference.name, found.monitored.name, valid, t, None).first()["line"]
         path = self.out / "correl_res.txt"
         head = "" if path.exists() else "refImg secImg total_valid_pixel sample_pixel confidence_th " + " ".join(f"{k}_{c}" for c in "xy" for k in ("min", "max", "median", "mean", "std")) + "\n"
         with path.open("a", encoding="utf-8") as f:
@@ -210,7 +220,8 @@ class Workflow:
                 report.png(f"{stem}_laplacian.png", I.laplacian(I.stretch(v), k[0 if name == "MON" else 1] if k != "auto" else 3))
                 out.append(f"{stem}.tif")
             report.vrt(self.out / "chips" / name / "chips.vrt", [p for p in out if Path(p).parent.name == name])
-        pts.to_csv(self.out / "chips" / "chips.csv", sep=";", index=False)
+        names = [c.split(" double")[0].strip("`") for c in tables.KEY_POINTS.split(", ")]
+        pts.rename(columns={"radial_error": "radial error"}).reindex(columns=names).to_csv(self.out / "chips" / "chips.csv", sep=";", index=False)
         return out
 
     def reports(self, found: Match, acc: Accuracy, dem: str | None = None) -> list[str]:

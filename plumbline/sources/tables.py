@@ -41,8 +41,11 @@ def read_chips(spark: SparkSession, path: str) -> DataFrame:
 POLYGONS = (5, 15, 25)
 
 
-def _shapes(path: str) -> list[list[tuple[float, float]]]:
-    """Rings of the polygons of a shapefile."""
+Ring = list[tuple[float, float]]
+
+
+def _shapes(path: str) -> list[list[Ring]]:
+    """The polygons of a shapefile, each with all its rings."""
     out = []
     try:
         raw = Path(path).read_bytes()
@@ -54,7 +57,7 @@ def _shapes(path: str) -> list[list[tuple[float, float]]]:
                 parts, points = struct.unpack("<II", body[36:44])
                 start = [*struct.unpack(f"<{parts}I", body[44 : 44 + 4 * parts]), points]
                 xy = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
-                out += [[(xy[2 * k], xy[2 * k + 1]) for k in range(a, b - 1)] for a, b in zip(start[:-1], start[1:], strict=True)]
+                out.append([[(xy[2 * k], xy[2 * k + 1]) for k in range(a, b - 1)] for a, b in zip(start[:-1], start[1:], strict=True)])
     except (OSError, struct.error) as e:
         raise RasterError(f"cannot read {path}: {e}") from e
     if not out:
@@ -62,8 +65,8 @@ def _shapes(path: str) -> list[list[tuple[float, float]]]:
     return out
 
 
-def rings(path: str) -> list[list[tuple[float, float]]]:
-    """Rings of the polygons of a vector layer: the outer ones of GeoJSON, all of a shapefile."""
+def polygons(path: str) -> list[list[Ring]]:
+    """The polygons of a vector layer, each with its outer rings and its holes."""
     if str(path).lower().endswith(".shp"):
         return _shapes(path)
     try:
@@ -73,8 +76,8 @@ def rings(path: str) -> list[list[tuple[float, float]]]:
     out = []
     for f in d.get("features", [d]):
         g = f.get("geometry", f)
-        polygons = [g["coordinates"]] if g.get("type") == "Polygon" else g["coordinates"] if g.get("type") == "MultiPolygon" else []
-        out += [[(float(p[0]), float(p[1])) for p in poly[0][:-1]] for poly in polygons]
+        some = [g["coordinates"]] if g.get("type") == "Polygon" else g["coordinates"] if g.get("type") == "MultiPolygon" else []
+        out += [[[(float(p[0]), float(p[1])) for p in ring[:-1]] for ring in poly] for poly in some if poly]
     if not out:
         raise RasterError(f"no polygon in {path}")
     return out

@@ -91,9 +91,23 @@ def test_ecc_recovers_a_warp():
     img = I.correlate(I.correlate(RNG.normal(size=(120, 120)), I.PYRAMID, I.PYRAMID), I.PYRAMID, I.PYRAMID)
     h = np.array([[1.005, 0.004, 1.5], [-0.003, 0.997, -1.0], [0, 0, 1]])
     fixed = A.warp(img, h, img.shape)
-    got, rho = A.ecc(img, fixed, np.eye(3))
-    assert rho > 0.95 and np.abs(A.apply(got, np.array([[60.0, 60.0]])) - A.apply(h, np.array([[60.0, 60.0]]))).max() < 0.2
-    assert A.ecc(img[:10, :10], fixed[:10, :10], np.eye(3)) == (None, 0.0)
+    known = A.warp(np.ones(img.shape), h, img.shape) > 1 - 1e-9
+    got, rho = A.ecc(img, fixed, np.eye(3), known=known)
+    corners = np.array([[0.0, 0], [119, 0], [0, 119], [119, 119], [60, 60]])
+    assert rho > 0.95 and np.abs(A.apply(got, corners) - A.apply(h, corners)).max() < 0.1
+    again, rho = A.ecc(img, fixed, h, known=known)  # the solution as the start: it stays there
+    assert rho > 0.99 and np.abs(A.apply(again, corners) - A.apply(h, corners)).max() < 0.1
+
+
+def test_ecc_does_not_follow_a_zero_border():
+    img = I.stretch(I.correlate(I.correlate(RNG.normal(size=(140, 160)), I.PYRAMID, I.PYRAMID), I.PYRAMID, I.PYRAMID)).astype(float) + 1
+    moved = I.shift(img, -2, -3)  # two columns and three rows of zeros come in
+    h = np.array([[1, 0, 2], [0, 1, 3], [0, 0, 1.0]])
+    for start in (h, h + [[0, 0, 0.6], [0, 0, -0.5], [0, 0, 0]]):
+        got, rho = A.ecc(moved, img, start)
+        corners = np.array([[0.0, 0], [159, 0], [0, 139], [159, 139]])
+        assert rho > 0.99 and np.abs(A.apply(got, corners) - A.apply(h, corners)).max() < 0.1
+    assert A.ecc(img[:10, :10], img[:10, :10], np.eye(3)) == (None, 0.0)
 
 
 def test_sift_matches_a_moved_image():

@@ -9,6 +9,7 @@ from plumbline.config import KLTConfiguration, ProcessingConfiguration, RuntimeC
 from plumbline.errors import ConfigurationError, RasterError
 from plumbline.kernels import images as I
 from plumbline.plans import pipeline
+from plumbline.operators import raster, stats
 from plumbline.sources import geotiff, tables
 from plumbline.streaming.pairs import process_stream, stream_pairs
 
@@ -162,13 +163,29 @@ def test_shapefile(tmp_path):
     ring = [(1.0, 2.0), (5.0, 2.0), (5.0, 6.0), (1.0, 2.0)]
     body = struct.pack("<I4dII", 5, 1, 2, 5, 6, 1, len(ring)) + struct.pack("<I", 0) + b"".join(struct.pack("<2d", *p) for p in ring)
     (tmp_path / "a.shp").write_bytes(b"\0" * 100 + struct.pack(">II", 1, len(body) // 2) + body)
-    assert tables.rings(str(tmp_path / "a.shp")) == [ring[:-1]]
+    assert tables.polygons(str(tmp_path / "a.shp")) == [[ring[:-1]]]
     (tmp_path / "b.shp").write_bytes(b"\0" * 100)
     with pytest.raises(RasterError):
-        tables.rings(str(tmp_path / "b.shp"))
+        tables.polygons(str(tmp_path / "b.shp"))
 
 
 def test_broken_vector_layer(tmp_path):
     (tmp_path / "x.geojson").write_text("no json")
     with pytest.raises(RasterError):
-        tables.rings(str(tmp_path / "x.geojson"))
+        tables.polygons(str(tmp_path / "x.geojson"))
+
+
+def test_holes_are_not_filled(spark, tmp_path):
+    outer, hole = [[1, 1], [9, 1], [9, 9], [1, 9], [1, 1]], [[3, 3], [7, 3], [7, 7], [3, 7], [3, 3]]
+    (tmp_path / "h.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [outer, hole]}}]}))
+    grid = spark.range(100).selectExpr("id % 10 as x", "id div 10 as y")
+    got = {(r["x"], r["y"]): r["m"] for r in raster.rasterized(grid, tables.polygons(str(tmp_path / "h.geojson"))).collect()}
+    assert got[(1, 1)] == got[(2, 5)] == 1 and got[(4, 4)] == got[(5, 5)] == got[(6, 6)] == 0 and got[(0, 0)] == 0
+
+
+def test_required_columns_and_exports(spark):
+    import plumbline
+
+    assert plumbline.Workflow.__name__ == "Workflow" and plumbline.RuntimeConfiguration
+    with pytest.raises(ValueError, match="score"):
+        stats.geometric(spark.createDataFrame([(1.0, 2.0)], "dx double, dy double"))
