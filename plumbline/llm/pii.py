@@ -1,7 +1,7 @@
 """Personal data by a character-level bidirectional LSTM with CRF transitions, in numpy.
 
 Base patterns give spans of their own and, with forms written in other ways, the labels to train from. The network reads
-every text whole, in overlapping windows. The scores of overlapping windows are blended into one chain for the text; where
+every text whole that a span can stand in, in overlapping windows. The scores of overlapping windows are blended into one chain for the text; where
 no tag but the outside one can be on a best path the chain needs no decoding, and what is left is decoded as a whole.
 """
 
@@ -28,8 +28,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 TRIGGER = re.compile(r"[0-9@]")
-#: The training sample; the windows, which overlap by WIDTH - STRIDE; places decoded beside an open one; windows scored at once.
-SAMPLE_TEXTS, WIDTH, STRIDE, REACH, BATCH = 384, 160, 128, 64, 512
+#: The training sample and its windows; the windows read, which overlap by WIDTH - STRIDE; places decoded beside an open one; windows scored at once.
+SAMPLE_TEXTS, LEARNED, WIDTH, STRIDE, REACH, BATCH = 384, 160, 256, 224, 64, 384
 EMBED, HIDDEN = 12, 16
 #: Rows read at once.
 ROWS = 256
@@ -275,13 +275,13 @@ def training_set(some: list[str], rng: np.random.Generator) -> tuple[np.ndarray,
         c, t = classes(new), np.array(tags, np.int64)
         anywhere = rng.integers(0, max(1, len(new)), 3).tolist()
         for p in [*centres[:: max(1, len(centres) // 12)], *anywhere]:
-            lo = max(0, min(p - int(rng.integers(WIDTH - 16)), len(new) - WIDTH))
-            x, y = np.full(WIDTH, PAD, np.uint8), np.zeros(WIDTH, np.int64)
-            n = min(WIDTH, len(new) - lo)
+            lo = max(0, min(p - int(rng.integers(LEARNED - 16)), len(new) - LEARNED))
+            x, y = np.full(LEARNED, PAD, np.uint8), np.zeros(LEARNED, np.int64)
+            n = min(LEARNED, len(new) - lo)
             x[:n], y[:n] = c[lo : lo + n], t[lo : lo + n]
             xs.append(x)
             ys.append(y)
-    return np.array(xs, np.uint8).reshape(-1, WIDTH), np.array(ys, np.int64).reshape(-1, WIDTH)
+    return np.array(xs, np.uint8).reshape(-1, LEARNED), np.array(ys, np.int64).reshape(-1, LEARNED)
 
 
 def train(some: list[str], seed: int = 5, steps: int = 500, batch: int = 64, rate: float = 0.02, windows: int = 2000, draws: int = 64) -> Net:
@@ -352,11 +352,12 @@ class Reader:
     def scores(self, windows: np.ndarray) -> np.ndarray:
         """Tag scores of windows: windows x steps x TAGS."""
         x = np.ascontiguousarray(windows.T)
-        a, b = np.empty((*x.shape, HIDDEN), np.float32), np.empty((*x.shape, HIDDEN), np.float32)
-        self.one_way(x, 0, a)
-        self.one_way(x[::-1], 1, b[::-1])
-        w = self.net.out
-        return (a @ w[:HIDDEN] + b @ w[HIDDEN:-1] + w[-1]).transpose(1, 0, 2)
+        h = np.empty((*x.shape, 2 * HIDDEN), np.float32)
+        self.one_way(x, 0, h[:, :, :HIDDEN])
+        self.one_way(x[::-1], 1, h[::-1, :, HIDDEN:])
+        e = h @ self.net.out[:-1]
+        e += self.net.out[-1]
+        return e.transpose(1, 0, 2)
 
     def open(self, e: np.ndarray) -> np.ndarray:
         """Places whose scores let a tag other than the outside one be on a best path; each span on one holds such a place."""
@@ -487,11 +488,20 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+#: What every span that plausible() accepts has in it: a digit, or an at-sign in one of its spellings.
+MARK = re.compile(r"[0-9@]|[\[(]at[\])]")
+
+
 def find_spans(reader: Reader, some: list[str]) -> list[tuple[list, list]]:
-    """For each text its base spans, and all its spans, as (start, kind, end)."""
+    """For each text its base spans, and all its spans, as (start, kind, end).
+
+    The network reads each text whole. A text without a mark has no span that passes the exact check, so it is not read.
+    """
     base = [base_spans(t) if TRIGGER.search(t) else [] for t in some]
     added: dict[int, list] = {}
-    for k, a, e in open_chains(reader, [classes(t) for t in some]):
+    read = [k for k, t in enumerate(some) if MARK.search(t)]
+    for r, a, e in open_chains(reader, [classes(some[k]) for k in read]):
+        k = read[r]
         for s, kind, u in decode(reader.net, e):
             s, u = trimmed(some[k], s + a, u + a)
             if u > s and not any(x < u and s < y for x, _, y in base[k]) and plausible(some[k], s, kind, u):

@@ -121,6 +121,20 @@ def test_other_spellings_are_added_and_checked(net):
     assert pii.find_spans(net, plain) == [([], [])] * len(plain)
 
 
+def test_texts_without_a_mark_have_no_span():
+    """Nothing that the exact check accepts is lost by not reading texts without a digit or an at-sign in some spelling."""
+    rng = random.Random(12)
+    bits = ["a", "x.y", "@", "at", "(at)", "[at]", "(", "[", "]", ")", " ", "dot", "(dot)", "[.]", ".", "com", "+", "-", "/", "1", "12", "255", "2222", "5555", "\u0663"]
+    accepted = 0
+    for _ in range(60_000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))
+        for kind in range(4):
+            if pii.plausible(t, 0, kind, len(t)):
+                accepted += 1
+                assert pii.MARK.search(t), t
+    assert accepted > 100
+
+
 @pytest.mark.parametrize("text", ["1.2.3." + "0" * 5000, "0" * 10_000 + "1.2.3.4", "1" * 2_000_000, "0" * 2_000_000, " " * 2_000_000, "\n" * 1_000_000 + "@", "1 " * 500_000, "+1" + "(" * 500_000, "a@" * 200_000, "1." * 500_000], ids=range(10))
 def test_odd_texts_do_not_stop_a_job(net, text):
     ((base, spans),) = pii.find_spans(net, [text])
