@@ -89,11 +89,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     What a stage wrote on its way, and the result before it, go once its own result is written.
     """
     docs, before = common.documents(spark, sf_dir), None
-    for name, stage in STAGES[:-1]:
-        path = common.scratch(spark, name)
-        with common.temporary(spark):
-            docs = common.written(stage(spark, docs, sf_dir), name, path)
-        if before:
-            common.delete(spark, before)
-        before = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with common.small_batches(spark):
+        for name, stage in STAGES[:-1]:
+            path = common.scratch(spark, name)
+            with common.temporary(spark):
+                docs = common.written(stage(spark, docs, sf_dir), name, path)
+            if before:
+                common.delete(spark, before)
+            before = path
+        return STAGES[-1][1](spark, docs, sf_dir)

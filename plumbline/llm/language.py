@@ -35,17 +35,17 @@ def word_matrix(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
         h = np.full(len(at), salt, np.uint64)
         for j in range(k):
             h = h * np.uint64(0x100000001B3) + d[at + j] + np.uint64(1)
-        return mix(h) & np.uint64(BUCKETS - 1)
+        return (mix(h) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
     for k in (1, 2, 3):
         own = np.flatnonzero(n >= k)
-        rows += [own] * 2
+        rows += [own.astype(np.int32)] * 2
         codes += [gram(start[own], k, 101 + k), gram(end[own] - k, k, 201 + k)]
     for k in (2, 3, 4):
         many = np.maximum(0, n - k + 1)
-        rows.append(np.repeat(np.arange(len(n)), many))
+        rows.append(np.repeat(np.arange(len(n), dtype=np.int32), many))
         codes.append(gram(np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum()), k, 301 + k))
-    return np.concatenate(rows), np.concatenate(codes).astype(np.int64)
+    return np.concatenate(rows), np.concatenate(codes)
 
 
 @dataclass
