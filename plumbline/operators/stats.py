@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import r8, radial, ratio
+from ..functions.expressions import cents, r8, radial, ratio
 from ..functions.ranking import cumulative, quantile_type4
 from .keypoints import confident
 
@@ -169,7 +169,7 @@ def stat_block(row: DataFrame, pct: DataFrame, factor: float = 1.0, threshold: f
     out = []
     for direction, c, labels in (("x", "dx", BLOCK_X), ("y", "dy", BLOCK_Y)):
         shown = {"": F.lit(threshold), "%": F.col("pct_pixel")}
-        lines = [F.concat(F.lit(label), F.format_string("%.2f", shown.get(k, F.col(f"{k}_{c}") * factor if k not in shown else None)), F.lit("%" if k == "%" else "")) for label, k in labels]
+        lines = [F.concat(F.lit(label), F.format_string("%.2f", cents(shown[k] if k in shown else F.col(f"{k}_{c}") * factor)), F.lit("%" if k == "%" else "")) for label, k in labels]
         out.append(F.struct(F.lit(direction).alias("direction"), F.concat_ws("\n ", *lines).alias("block")))
     return row.crossJoin(pct).select(F.explode(F.array(*out)).alias("b")).select("b.*")
 

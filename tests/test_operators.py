@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.expressions import cents
 from plumbline.functions.ranking import quantile_type4
 from plumbline.operators import descriptors, geo, keypoints, profiles, raster, selection, similarity, stats
 
@@ -124,3 +125,11 @@ def test_compatible_without_a_reference_system(spark):
     h = spark.createDataFrame([(1, [0.0, 1.0, 0.0, 0.0, 0.0, -1.0], None, 5, 5)], "pair_id long, gt array<double>, srs string, x_size int, y_size int")
     assert geo.compatible(h, h).first()["compatible"]
     assert not geo.compatible(h, h.withColumn("x_size", F.lit(6))).first()["compatible"]
+
+
+def test_two_decimals_of_the_value_itself(spark):
+    rng = np.random.default_rng(3)
+    some = [107.505, 0.125, 0.375, 0.005, 1.005, 2.675, -2.675, -0.001, 0.0, 1e6 + 0.015, 0.995, 99.995, *(rng.integers(-40_000, 40_000, 3000) / 200).tolist(), *rng.normal(0, 50, 500).tolist()]
+    df = spark.createDataFrame([(v,) for v in some], "v double").select("v", F.format_string("%.2f", cents("v")).alias("shown"))
+    for r in df.collect():
+        assert r["shown"] == f"{r['v']:.2f}", r["v"]
