@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, task, texts, written
-from .components import components
+from .components import components, spread_join
 from .textbytes import WHITE, mix, shingles, span_hashes, words
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -255,13 +255,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     grouped_sets = full.groupBy("d1", "d2", "size").agg(F.min(row).alias("row"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     sets = written(grouped_sets.withColumn("rep", F.monotonically_increasing_id()), "sets")
     groups = components(candidates(sets, similarity))
-    counts = groups.groupBy("root").agg(F.count("*").alias("n"))
-    ready = written(groups.withColumnRenamed("node", "rep").join(counts, "root").join(sets.select("rep", "copies", "row.doc_id", "row.t"), "rep").select("rep", "root", "n", "copies", "doc_id", "t"), "groups")
+    counts = groups.groupBy("root").agg(F.count("*").alias("n"), F.count("*").alias("many"))
+    in_group = spread_join(groups.withColumnRenamed("node", "rep"), counts, "root", groups.count()).withColumnRenamed("many", "n")
+    ready = written(in_group.join(sets.select("rep", "copies", "row.doc_id", "row.t"), "rep").select("rep", "root", "n", "copies", "doc_id", "t"), "groups")
     found = written(verified(docs, ready, similarity), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "rep")
-    first = roots.join(sets.select("rep", "row"), "rep").groupBy("root").agg(F.min("row").alias("first"))
-    named = sets.select("d1", "d2", "size", "rep", "copies", "row").join(links, "rep", "left").join(roots.join(first, "root").select("rep", "first"), "rep", "left")
+    first = roots.join(sets.select("rep", "row"), "rep").groupBy("root").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    firsts = spread_join(roots, first, "root", roots.count()).select("rep", "first")
+    named = sets.select("d1", "d2", "size", "rep", "copies", "row").join(links, "rep", "left").join(firsts, "rep", "left")
     named = named.select("d1", "d2", "size", F.coalesce("first", "row").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     linked = full.select("doc_id", "t", "d1", "d2", "size").join(named, ["d1", "d2", "size"]).select("doc_id", "t", F.col("first.doc_id").alias("class_id"), F.col("first.t").alias("class_t"), "n_links")
     alone = table.where("size = 0").select("doc_id", "t", F.col("doc_id").alias("class_id"), F.col("t").alias("class_t"), F.lit(0).cast("long").alias("n_links"))

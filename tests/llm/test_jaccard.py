@@ -5,8 +5,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import jaccard
-from plumbline.llm.components import components
+from plumbline.llm.components import components, spread_join
 
 
 def brute(rows):
@@ -133,3 +135,18 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(31)) and {got[100], got[150], got[200]} == {100} and all(got[k] == 300 for k in range(300, 330))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_spread_join_takes_frequent_keys_apart(spark):
+    keys = [7] * 5000 + [8] * 300 + list(range(100, 400)) + [None]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    by = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("first")).where("k <> 399")
+    got = sorted((r["k"], r["i"], r["first"]) for r in spread_join(rows, by, "k", len(keys)).collect())
+    assert got == sorted((k, i, keys.index(k)) for i, k in enumerate(keys) if k is not None and k != 399)
+
+
+def test_components_of_a_star_and_a_path(spark):
+    """A hub with far more edges than FREQUENT_ROWS, one that is not the smallest of its component, and a long path."""
+    edges = [(5, k) for k in range(10, 1500)] + [(5, 1)] + [(k, 2000) for k in range(2001, 2600)] + [(k, k + 1) for k in range(3000, 3060)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {5: 1, 1: 1, **{k: 1 for k in range(10, 1500)}, 2000: 2000, **{k: 2000 for k in range(2001, 2600)}, **{k: 3000 for k in range(3000, 3061)}}
