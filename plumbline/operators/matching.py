@@ -110,6 +110,48 @@ def match(pairs: DataFrame, width: int, height: int, s: Settings, mask: DataFram
     return px.select("tile_x", "tile_y", "x", "y", "ref", "mon", "valid").groupBy("tile_x", "tile_y").applyInPandas(run, KEY_POINTS)
 
 
+def tile_choices(kp: DataFrame) -> DataFrame:
+    """What the matcher settled on: a row for each tile with key points (tile_x, tile_y, mon_k, ref_k, polarity)."""
+    return kp.select("tile_x", "tile_y", "mon_k", "ref_k", "polarity").distinct()
+
+
+def settled(kp: DataFrame) -> tuple[tuple[int, int], bool] | None:
+    """The kernel sizes (monitored, reference) and whether the monitored image is inverted, as most tiles have it.
+
+    Of equally frequent ones the first tile decides; None without a key point.
+    """
+    from .stats import mode
+
+    tiles = tile_choices(kp).withColumn("tile", F.struct("tile_y", "tile_x"))
+    k, p = mode(tiles, ["mon_k", "ref_k"], "tile").first(), mode(tiles, ["polarity"], "tile").first()
+    return ((k["mon_k"], k["ref_k"]), p["polarity"] == "inverted") if k else None
+
+
+def write_laplacians(choices: DataFrame, reference, monitored, tile_size: int, out: str) -> DataFrame:
+    """Writes the Laplacians that the tiles were matched on, and gives a row (name) for each file.
+
+    Each task reads the windows of its tiles from the two headers' files, so out and the images are on a shared path.
+    """
+    from ..sources.geotiff import write
+
+    height, width = reference.shape
+
+    def run(it):
+        for t in it:
+            names = []
+            for c in t.itertuples(index=False):
+                x, y = c.tile_x * tile_size, c.tile_y * tile_size
+                w, h = min(tile_size, width - x), min(tile_size, height - y)
+                inverted = c.polarity == "inverted"
+                mon, ref = (I.stretch(im.window(1, x, y, w, h)) for im in (monitored, reference))
+                for name, im, k in ((f"mon_laplacian{'_inv' if inverted else ''}", 255 - mon if inverted else mon, c.mon_k), ("ref_laplacian", ref, c.ref_k)):
+                    names.append(f"{name}_k{k}_{x}_{y}_{w}_{h}.tif")
+                    write(f"{out}/{names[-1]}", [I.laplacian(im, k).astype("float32")], None, None, None)
+            yield pd.DataFrame({"name": names})
+
+    return choices.repartition("tile_x", "tile_y").mapInPandas(run, "name string")
+
+
 def _whole(pairs: DataFrame, width: int, height: int, run, schema: str) -> DataFrame:
     """A kernel over a whole image pair, which one task holds; larger images are matched by tiles."""
 

@@ -13,6 +13,27 @@ def mean_profile(df: DataFrame, value: str, position: str, bin_size: int) -> Dat
     return got.select((F.col("b") * bin_size + bin_size // 2).alias("pos"), "n", "mean", "std")
 
 
+def shift_profile(kp: DataFrame, direction: str, axis: str, bin_size: int) -> DataFrame:
+    """The profile of a direction, dx or dy, along the image's columns or rows (col, row), with its band."""
+    if direction not in ("dx", "dy") or axis not in ("col", "row"):
+        raise ValueError(f"no profile of {direction} by {axis}: dx or dy, by col or row")
+    return std_band(mean_profile(kp, direction, "x0" if axis == "col" else "y0", bin_size))
+
+
+def by_cell(kp: DataFrame, width: int, height: int, cells: int = 48) -> DataFrame:
+    """Means by cell of a grid over the image (x, y): dx, dy, radial error, and theta, the direction of the mean shift in degrees."""
+    cell = lambda c, size: F.floor(F.col(c) * cells / size).cast("int")
+    means = [F.avg(c).alias(c) for c in ("dx", "dy", "radial_error")]
+    got = kp.groupBy(cell("x0", width).alias("x"), cell("y0", height).alias("y")).agg(F.count("*").alias("n"), *means)
+    return got.withColumn("theta", F.degrees(F.atan2("dy", "dx")))
+
+
+def by_shift(kp: DataFrame, lo: float, hi: float, cells: int = 48) -> DataFrame:
+    """Points by cell of a square grid of displacements from lo to hi: x, y, n."""
+    cell = lambda c: F.least(F.floor((F.col(c) - lo) * cells / (hi - lo)), F.lit(cells - 1)).cast("int")
+    return kp.where("dx is not null and dy is not null").groupBy(cell("dx").alias("x"), cell("dy").alias("y")).agg(F.count("*").alias("n"))
+
+
 def std_band(profile: DataFrame) -> DataFrame:
     """Adds lo and hi: the mean less and plus std * sqrt(1/G + (g - mean g)^2 / sum (g - mean g)^2), over all G groups.
 

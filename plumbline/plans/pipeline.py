@@ -71,6 +71,9 @@ class Match:
     mask: DataFrame | None
     shift: tuple[float, float] | None = None  # (x, y) of a large shift that was taken out
     written: list[str] = field(default_factory=list)
+    tiles: DataFrame | None = None  # raw key points with the choices of their tiles
+    ksize: tuple[int, int] | None = None  # (monitored, reference), as most tiles have it; None if no tile has a key point
+    inverted: bool | None = None
 
 
 @dataclass
@@ -143,9 +146,11 @@ class Workflow:
                 self._sink(moved, mon, f"{mon.name}_shifted.tif", mon.header.dtype.newbyteorder("=").name, mon.header.nodata)
                 pairs = raster.zipped(ref.pixels, moved)
         path = self._csv(mon, ref)
+        raw = f"{path}.tiles"
         if not (resume and self._stored(path)):
             kp = matching.match(pairs, mon.width, mon.height, klt.settings(), m, ref.header.nodata, mon.header.nodata, (ref.header.dtype.name, mon.header.dtype.name))
-            kp = keypoints.enrich(kp.withColumn("kp_id", F.xxhash64("x0", "y0")))
+            kp.write.mode("overwrite").parquet(raw)  # tiles are matched once: scores, file and choices read this
+            kp = keypoints.enrich(self.spark.read.parquet(raw).withColumn("kp_id", F.xxhash64("x0", "y0")))
             if shift is None:
                 t = self.processing.accuracy.confidence_threshold
                 scores = similarity.patch_scores(kp, pairs, mon.width, mon.height, t)
@@ -155,7 +160,22 @@ class Workflow:
         if shift is not None:
             kp = keypoints.corrected(kp, *shift)
         kp = keypoints.without_values(kp, ref.pixels, mon.pixels, r.no_values, ref.header.nodata if r.no_values is not None else None, mon.header.nodata if r.no_values is not None else None)
-        return Match(mon, ref, kp, m, shift, [path])
+        tiles = self.spark.read.parquet(raw) if self._stored(raw) else None
+        chosen = matching.settled(tiles) if tiles is not None else None
+        fixed = klt.settings()
+        ksize = fixed.ksize if fixed.ksize != "auto" else chosen and chosen[0]
+        inverted = fixed.invert if fixed.invert != "auto" else chosen and chosen[1]
+        return Match(mon, ref, kp, m, shift, [path], tiles, ksize, inverted)
+
+    def resolved(self, found: Match) -> dict:
+        """The configuration with what an automatic search settled on in place of `auto`."""
+        got = self.processing.to_dict()
+        klt = got["processing_configuration"]["klt_matching"]
+        if klt["laplacian_kernel_size"] == "auto" and found.ksize is not None:
+            klt["laplacian_kernel_size"] = dict(zip(("mon", "ref"), found.ksize, strict=True))
+        if klt["laplacian_invert_polarity"] == "auto" and found.inverted is not None:
+            klt["laplacian_invert_polarity"] = found.inverted
+        return got
 
     def accuracy(self, found: Match) -> Accuracy:
         """Statistics of confident points; a line is added to correl_res.txt."""
@@ -186,6 +206,12 @@ class Workflow:
             sink(geo.kp_mask(found.key_points).withColumn("m", F.lit(1)), "kp_mask.tif", "uint8", None)
         if r.gen_delta_raster:
             sink(geo.kp_delta(found.key_points), "kp_delta.tif", "float32", float("nan"))
+            if found.tiles is not None:
+                mon = found.monitored.header
+                if found.shift is not None:
+                    mon = geotiff.Header.read(geotiff.files(str(self.out / f"{found.monitored.name}_shifted.tif"))[0])
+                names = matching.write_laplacians(matching.tile_choices(found.tiles), ref.header, mon, self.processing.klt.tile_size, str(self.out.resolve()))
+                out += sorted(r["name"] for r in names.collect())
         if epsg is not None and gt:
             columns = ["dx", "dy", "score", "radial_error", "angle", "zncc_score", "mutual_info_score"]
             features = [x["feature"] for x in geo.feature(found.key_points, gt, columns).orderBy("kp_id").toLocalIterator()]
@@ -216,12 +242,17 @@ class Workflow:
                 at = [gt[0] + (x - half) * gt[1], gt[1], 0, gt[3] + (y - half) * gt[5], 0, gt[5]] if gt else None
                 geotiff.write(f"{stem}.tif", [v], at, image.header.epsg, image.header.nodata)
                 report.png(f"{stem}.png", I.stretch(v))
-                k = self.processing.klt.settings().ksize
-                report.png(f"{stem}_laplacian.png", I.laplacian(I.stretch(v), k[0 if name == "MON" else 1] if k != "auto" else 3))
+                if found.ksize is not None:
+                    report.png(f"{stem}_laplacian.png", I.laplacian(I.stretch(v), found.ksize[0 if name == "MON" else 1]))
                 out.append(f"{stem}.tif")
-            report.vrt(self.out / "chips" / name / "chips.vrt", [p for p in out if Path(p).parent.name == name])
+            report.vrt(self.out / "chips" / name / "chips.vrt", sorted(p for p in out if Path(p).parent.name == name))
         names = [c.split(" double")[0].strip("`") for c in tables.KEY_POINTS.split(", ")]
         pts.rename(columns={"radial_error": "radial error"}).reindex(columns=names).to_csv(self.out / "chips" / "chips.csv", sep=";", index=False)
+        files = [(f"chips/REF/{Path(p).stem}.png",) for p in out if Path(p).parent.name == "REF" and (self.out / "chips" / "MON" / f"MON_{Path(p).stem[4:]}.tif").exists()]
+        facts = self.spark.createDataFrame([(int(p.kp_id), float(p.x0), float(p.y0), float(p.dx), float(p.dy), float(p.score)) for p in pts.itertuples(index=False)], "kp_id long, x0 double, y0 double, dx double, dy double, score double")
+        cards = selection.chip_cards(self.spark.createDataFrame(files, "path string"), facts).toPandas().rename(columns={"path": "name"})
+        scores = pts.assign(x=pts["x0"].astype(int), y=pts["y0"].astype(int), zncc=pts["zncc_score"].astype(float), nmi=pts["mutual_info_score"].astype(float)).drop_duplicates(["x", "y"])
+        report.chips_page(self.out / "chips.html", "Chips", cards.merge(scores[["x", "y", "zncc", "nmi"]], on=["x", "y"], how="left"))
         return out
 
     def reports(self, found: Match, acc: Accuracy, dem: str | None = None) -> list[str]:
@@ -230,10 +261,11 @@ class Workflow:
         c = keypoints.confident(kp, t)
         figures = {}
         for d in ("dx", "dy"):
-            for axis, pos in (("col", "x0"), ("row", "y0")):
-                figures[f"{d}_by_{axis}"] = profiles.std_band(profiles.mean_profile(c, d, pos, self.processing.shift_plot.histo_mean_bin_size))
+            for axis in ("col", "row"):
+                figures[f"{d}_by_{axis}"] = profiles.shift_profile(c, d, axis, self.processing.shift_plot.histo_mean_bin_size)
             figures[f"hist_{d}"] = stats.histogram(c, d).select(F.col("lo").alias("pos"), F.col("n").alias("mean"))
         figures["ce"] = stats.radial_cdf(c).select(F.col("pct").alias("pos"), F.col("r").alias("mean")).where(F.pmod("i", F.greatest(F.lit(1), F.floor(F.lit(acc.row["n"] or 0) / 1000))) == 0)
+        boxes = {}
         if dem:
             e = Image.open(self.spark, dem)
             if not e.fits(found.reference):
@@ -241,13 +273,36 @@ class Workflow:
             at = c.withColumn("x", F.col("x0").cast("long")).withColumn("y", F.col("y0").cast("long")).join(e.pixels.withColumnRenamed("dn", "alt"), ["x", "y"])
             for d in ("dx", "dy", "radial_error"):
                 figures[f"dem_{d}"] = profiles.std_band(profiles.by_altitude(at, d, self.processing.dem_plot.histo_mean_bin_size))
-        out = []
+                boxes[f"dem_{d}_boxes"] = profiles.boxes(at, d, "alt", self.processing.dem_plot.histo_mean_bin_size)
+        out = self._overview(found, c, acc)
+        for k, df in boxes.items():
+            report.box_chart(self.out / f"{k}.svg", f"{self.runtime.title_prefix or ''} {k}".strip(), df.orderBy("pos").toPandas())
+            out.append(f"{k}.svg")
         for k, df in figures.items():
             rows = df.orderBy("pos").toPandas()
             report.line_chart(self.out / f"{k}.svg", f"{self.runtime.title_prefix or ''} {k}".strip(), rows)
             out.append(f"{k}.svg")
         return out
 
+    def _overview(self, found: Match, c: DataFrame, acc: Accuracy) -> list[str]:
+        """Maps of the mean shift over the image, and the cloud of shifts with the circular errors: cells, however many points there are."""
+        out, cells, ref = [], 48, found.reference
+        grid = profiles.by_cell(c, ref.width, ref.height, cells).toPandas()
+        limits = stats.color_limits(c).first().asDict()
+        span = lambda lo, hi: (lo, hi) if lo is not None and hi is not None and lo < hi else None
+        scales = {"dx": span(limits["dx_vmin"], limits["dx_vmax"]), "dy": span(limits["dy_vmin"], limits["dy_vmax"]), "radial_error": span(0.0, limits["radial_vmax"]), "theta": (-180.0, 180.0)}
+        for name, scale in scales.items():
+            report.cell_chart(self.out / f"map_{name}.svg", f"{self.runtime.title_prefix or ''} {name}".strip(), grid, name, cells, (0, 0, ref.width, ref.height), cyclic=name == "theta", limits=scale)
+            out.append(f"map_{name}.svg")
+        most = stats.axis_limits(c).first()
+        if most["hi"] is not None:
+            reach = float(max(abs(most["lo"]), abs(most["hi"]), 1))
+            factor = resolution(found.monitored, found.reference, self.runtime.pixel_size) or 1.0
+            circles = tuple(acc.row[k] / factor for k in ("ce90", "ce95") if acc.row.get(k) is not None)
+            report.cell_chart(self.out / "circular_error.svg", f"{self.runtime.title_prefix or ''} shifts, ce90, ce95".strip(), profiles.by_shift(c, -reach, reach, cells).toPandas(), "n", cells, (-reach, -reach, reach, reach), circles)
+            out.append("circular_error.svg")
+        return out
+
     def process(self, monitored: str, reference: str, mask: str | None = None, dem: str | None = None, vector: str | None = None, resume: bool = False) -> tuple[Match, Accuracy, list[str]]:
         self.runtime.check(dem)
         found = self.match(monitored, reference, mask, vector, resume)
@@ -257,8 +312,10 @@ class Workflow:
             made += [str(Path(p).relative_to(self.out)) for p in self.chips(found)]
         figures = self.reports(found, acc, dem)
         kinds = self.spark.createDataFrame([(m,) for m in made] or [("none",)], "name string").select("name", product_type("name").alias("kind")).collect()
-        report.summary(self.out / "report.html", self.runtime.title_prefix or "Geometric accuracy", acc.row, figures, [(k["name"], k["kind"]) for k in kinds] if made else [], self.processing.to_dict())
-        (self.out / "configuration.json").write_text(json.dumps(self.processing.to_dict(), indent=2), encoding="utf-8")
+        if made:
+            report.products_page(self.out / "products.html", "Products", [(k["name"], k["kind"]) for k in kinds])
+        report.summary(self.out / "report.html", self.runtime.title_prefix or "Geometric accuracy", acc.row, figures, [(k["name"], k["kind"]) for k in kinds] if made else [], self.resolved(found))
+        (self.out / "configuration.json").write_text(json.dumps(self.resolved(found), indent=2), encoding="utf-8")
         return found, acc, made + figures
 
 

@@ -9,7 +9,7 @@ from plumbline.config import KLTConfiguration, ProcessingConfiguration, RuntimeC
 from plumbline.errors import ConfigurationError, RasterError
 from plumbline.kernels import images as I
 from plumbline.plans import pipeline
-from plumbline.operators import raster, stats
+from plumbline.operators import matching, profiles, raster, stats
 from plumbline.sources import geotiff, tables
 from plumbline.streaming.pairs import process_stream, stream_pairs
 
@@ -86,6 +86,11 @@ def test_process(spark, pair, conf, tmp_path):
     assert mask.sum() == len(set(zip(kp["x0"], kp["y0"], strict=True)))
     assert (tmp_path / "out" / "report.html").exists() and (tmp_path / "out" / "chips" / "chips.csv").exists()
     assert len((tmp_path / "out" / "correl_res.txt").read_text().splitlines()) == 2
+    out = tmp_path / "out"
+    assert {"map_dx.svg", "map_theta.svg", "circular_error.svg", "dem_dx_boxes.svg", "mon_laplacian_k3_0_0_180_180.tif", "ref_laplacian_k3_0_0_180_180.tif"} <= set(made)
+    assert geotiff.Header.read(str(out / "ref_laplacian_k3_0_0_180_180.tif")).shape == (180, 180)
+    assert "kp_mask.tif" in (out / "products.html").read_text() and (out / "chips.html").read_text().count("data-zncc") > 3
+    assert (out / "circular_error.svg").read_text().count("<ellipse") == 2 and "chips.html" in (out / "report.html").read_text()
     again = pipeline.Workflow(spark, conf, run).match(*pair, resume=True)
     assert again.key_points.count() == found.key_points.count()
 
@@ -189,3 +194,20 @@ def test_required_columns_and_exports(spark):
     assert plumbline.Workflow.__name__ == "Workflow" and plumbline.RuntimeConfiguration
     with pytest.raises(ValueError, match="score"):
         stats.geometric(spark.createDataFrame([(1.0, 2.0)], "dx double, dy double"))
+
+
+def test_what_most_tiles_settled_on(spark, conf, tmp_path):
+    row = "tile_x int, tile_y int, mon_k int, ref_k int, polarity string"
+    votes = [(0, 0, 3, 5, "normal")] * 9 + [(1, 0, 7, 5, "inverted"), (0, 1, 7, 5, "inverted"), (1, 1, 3, 5, "inverted")]
+    assert matching.settled(spark.createDataFrame(votes, row)) == ((3, 5), True)  # a tile has one vote; of equal ones the first tile's
+    assert matching.settled(spark.createDataFrame([], row)) is None
+    conf.klt.laplacian_kernel_size, conf.klt.laplacian_invert_polarity = "auto", "auto"
+    flow = pipeline.Workflow(spark, conf, RuntimeConfiguration(tmp_path / "o"))
+    klt = lambda *chosen: flow.resolved(pipeline.Match(None, None, None, None, ksize=chosen[0], inverted=chosen[1]))["processing_configuration"]["klt_matching"]
+    assert klt((3, 5), True)["laplacian_kernel_size"] == {"mon": 3, "ref": 5} and klt((3, 5), True)["laplacian_invert_polarity"] is True
+    assert klt(None, None)["laplacian_kernel_size"] == "auto"
+
+
+def test_profiles_know_their_directions(spark):
+    with pytest.raises(ValueError, match="dz"):
+        profiles.shift_profile(spark.range(0), "dz", "col", 20)
