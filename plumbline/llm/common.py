@@ -138,8 +138,27 @@ def release() -> None:
         trim(0)
 
 
+#: What this process keeps from task to task, by the module of the operator.
+_kept: dict[str, dict] = {}
+
+
+def kept(module: str) -> dict:
+    """What the tasks of a module keep in this process; it goes when a task of another one begins here."""
+    return _kept.setdefault(module, {})
+
+
+def forget(module: str) -> None:
+    """Drops what the tasks of other modules keep: workers live on from stage to stage."""
+    others = [m for m in _kept if m != module]
+    for m in others:
+        del _kept[m]
+    if others:
+        release()
+
+
 def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1024) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task body that gets its input in small batches and leaves no free memory behind."""
+    """A task body that gets its input in small batches, finds nothing that other operators kept, and leaves no free memory behind."""
+    module = run.__module__
 
     def small(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -147,6 +166,7 @@ def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ro
                 yield b.slice(k, rows)
 
     def go(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(module)
         try:
             yield from run(small(it))
         finally:

@@ -22,6 +22,8 @@ SAMPLE_TEXTS, SAMPLE_CHARS = 250, 2400
 BUCKETS = 1 << 16
 SEGMENT = 32
 LEXICON_LEAST = 3
+#: Bytes of whole texts that are scored at once; the arrays over their words take some 80 times as much.
+SCORED_BYTES = 1 << 18
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -200,7 +202,7 @@ def train(samples: list[tuple[str, str]], seed: int = 7, epochs: int = 3, rate:
 def score_texts(m: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     """The language of each text and the mean probability of it over the text's words."""
     names, scores = [], []
-    for lo, hi, raw, offsets in slices(column):
+    for lo, hi, raw, offsets in slices(column, SCORED_BYTES):
         n = hi - lo
         data = lowered(raw)
         text, start, end = words(data, offsets, LETTER)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import strings, task, texts, written
+from .common import kept, strings, task, texts, written
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -89,15 +89,12 @@ class Encoder:
         return b"".join(found)
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encoder(ranks_path: str, library_path: str, pattern: str, special: dict[str, int]) -> Encoder:
-    """One for each worker process; its memory is bounded."""
-    key = (ranks_path, library_path, pattern, tuple(special.items()))
-    if key not in _encoders:
-        _encoders[key] = Encoder(ranks_path, library_path, pattern, special)
-    e = _encoders[key]
+    """One for each worker process, as long as it packs; its memory is bounded."""
+    key, encoders = (ranks_path, library_path, pattern, tuple(special.items())), kept(__name__)
+    if key not in encoders:
+        encoders[key] = Encoder(ranks_path, library_path, pattern, special)
+    e = encoders[key]
     if len(e.known) >= e.limit:
         e.known.clear()
     return e

@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -137,3 +138,19 @@ def test_filter_keeps_whole_rows(spark, data):
     more = docs.unionByName(docs.limit(1).selectExpr("cast(10000000 as bigint) as doc_id", "'12 !' as text", "lang", "source", "n_chars"))
     got = language.with_language(more)
     assert got.schema == docs.schema and got.count() == docs.count()
+
+
+def test_memory_of_scoring_does_not_follow_the_batch():
+    import tracemalloc
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(300)) for _ in range(600)]
+    m = language.train([(t, lang) for t, lang in zip(texts[:20], ["aa", "bb"] * 10, strict=True)], epochs=1)
+    tracemalloc.start()
+    names, scores = language.score_texts(m, pa.array(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6, peak
+    alone = [language.score_texts(m, pa.array([t])) for t in texts[::20]]
+    assert names[::20] == [n[0] for n, _ in alone]
+    assert abs(scores[::20] - [s[0] for _, s in alone]).max() < 1e-5

@@ -96,3 +96,29 @@ def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
+
+
+def test_workers_forget_what_other_operators_kept():
+    """A worker that had packed held its encoder, with 400,000 chunks, through the language stage of the next run."""
+    import gc
+    import weakref
+
+    import public_tokenizers as vocabularies
+
+    from plumbline.llm import common, packing
+
+    def encoder():
+        return packing.encoder(vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, queries.PACK_SPECIAL)
+
+    def body(it):
+        yield from it
+
+    seen = weakref.ref(encoder())
+    body.__module__ = packing.__name__
+    assert list(common.task(body)(iter([]))) == []
+    gc.collect()
+    assert seen() is not None and seen() is encoder()  # kept from one task of the operator to the next
+    body.__module__ = "plumbline.llm.language"
+    assert list(common.task(body)(iter([]))) == []
+    gc.collect()
+    assert seen() is None
