@@ -90,23 +90,29 @@ def patch_scores(kp: DataFrame, pairs: DataFrame, width: int, height: int, thres
     return kp.select("kp_id").join(clean, "kp_id", "left")
 
 
-def _window(kp: DataFrame, half: int) -> DataFrame:
-    """kp_id, x, y of each pixel of the window around a point."""
-    span = lambda c: F.sequence(pixel(c) - half, pixel(c) + half)
-    return kp.select("kp_id", F.explode(span("x0")).alias("x"), span("y0").alias("_ys")).select("kp_id", "x", F.explode("_ys").alias("y"))
+def _window(at: DataFrame, px: DataFrame, half: int) -> DataFrame:
+    """cx, cy, x, y and the rest of px for each pixel of the window around a place (cx, cy).
+
+    Exploded rows are many times what Spark estimates, so that they must not be broadcast: rows are sorted and merged.
+    """
+    span = lambda c: F.sequence(F.col(c) - half, F.col(c) + half)
+    rows = at.select("cx", "cy", F.explode(span("cx")).alias("x"), span("cy").alias("_ys")).select("cx", "cy", "x", F.explode("_ys").alias("y"))
+    return rows.join(px.hint("merge"), ["x", "y"])
 
 
 def patch_sums(kp: DataFrame, px: DataFrame, half: int) -> DataFrame:
-    """kp_id, n, total of dn over the window around each point: offsets are exploded, then joined on equal coordinates."""
-    at = _window(kp, half)
-    return at.join(px, ["x", "y"]).groupBy("kp_id").agg(F.count("*").alias("n"), F.sum("dn").cast("long").alias("total"))
+    """kp_id, n, total of dn over the window around each point: windows are summed once for each pixel that holds points."""
+    at = kp.select("kp_id", pixel("x0").alias("cx"), pixel("y0").alias("cy"))
+    sums = _window(at.select("cx", "cy").distinct(), px, half).groupBy("cx", "cy").agg(F.count("*").alias("n"), F.sum("dn").alias("total"))
+    return at.join(sums.hint("merge"), ["cx", "cy"]).groupBy("kp_id").agg(F.sum("n").alias("n"), F.sum("total").cast("long").alias("total"))
 
 
 def chips(kp: DataFrame, px: DataFrame, half: int = HALF_CHIP) -> DataFrame:
     """kp_id and the window around each point as an array, row by row; only whole windows."""
-    at = _window(kp, half)
-    got = at.join(px, ["x", "y"]).groupBy("kp_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "dn"))).alias("c"))
-    return got.where(F.size("c") == (2 * half + 1) ** 2).select("kp_id", F.transform("c", lambda p: p["dn"]).alias("chip"))
+    at = kp.select("kp_id", pixel("x0").alias("cx"), pixel("y0").alias("cy"))
+    got = _window(at.select("cx", "cy").distinct(), px, half).groupBy("cx", "cy").agg(F.sort_array(F.collect_list(F.struct("y", "x", "dn"))).alias("c"))
+    whole = got.where(F.size("c") == (2 * half + 1) ** 2).select("cx", "cy", F.transform("c", lambda p: p["dn"]).alias("chip"))
+    return at.join(whole.hint("merge"), ["cx", "cy"]).select("kp_id", "chip")
 
 
 def moved(kp: DataFrame) -> DataFrame:

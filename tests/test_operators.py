@@ -133,3 +133,17 @@ def test_two_decimals_of_the_value_itself(spark):
     df = spark.createDataFrame([(v,) for v in some], "v double").select("v", F.format_string("%.2f", cents("v")).alias("shown"))
     for r in df.collect():
         assert r["shown"] == f"{r['v']:.2f}", r["v"]
+
+
+def test_patch_sums_never_broadcast_windows(spark):
+    rng = np.random.default_rng(4)
+    dn = rng.integers(0, 200, (12, 15))
+    px = spark.createDataFrame([(x, y, int(dn[y, x])) for x in range(15) for y in range(12)], "x long, y long, dn long")
+    places = [(5, 5), (5, 5), (0, 0), (14, 11), (7.9, 3.2), (-2, 4), (40, 40)]
+    got = similarity.patch_sums(kps(spark, [(x, y, 0, 0, 1) for x, y in places]), px, 2)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    cut = [dn[max(int(y) - 2, 0) : max(int(y) + 3, 0), max(int(x) - 2, 0) : max(int(x) + 3, 0)] for x, y in places]
+    assert {r["kp_id"]: (r["n"], r["total"]) for r in got.collect()} == {i: (c.size, c.sum()) for i, c in enumerate(cut) if c.size}
+    chip = similarity.chips(kps(spark, [(x, y, 0, 0, 1) for x, y in places]), px, 2)
+    assert "Broadcast" not in chip._jdf.queryExecution().executedPlan().toString()
+    assert {r["kp_id"]: r["chip"] for r in chip.collect()} == {i: c.ravel().tolist() for i, c in enumerate(cut) if c.size == 25}
