@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import cents, r8, radial, ratio
+from ..functions.expressions import cents, decimals, r8, radial, ratio
 from ..functions.ranking import cumulative, quantile_type4
 from .keypoints import confident
 
@@ -154,7 +154,7 @@ def mode(votes: DataFrame, value: list[str], order: str) -> DataFrame:
 def stat_line(row: DataFrame, ref: str, mon: str, valid: DataFrame, threshold: float = THRESHOLD, digits: int | None = 4) -> DataFrame:
     """The space-separated line of the statistics file; without a number of digits, with all that tell a value."""
     parts = [F.lit(ref), F.lit(mon), F.col("valid_pixels"), F.col("n"), F.lit(f"{threshold}")]
-    show = lambda c: F.col(c).cast("string") if digits is None else F.format_string(f"%.{digits}f", F.col(c))
+    show = lambda c: F.col(c).cast("string") if digits is None else F.format_string(f"%.{digits}f", decimals(c, digits))
     parts += [show(f"{k}_{c}") for c in ("dx", "dy") for k in ("min", "max", "median", "mean", "std")]
     return row.crossJoin(valid).select(F.concat_ws(" ", *parts).alias("line"))
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import product_type, r8, safe_name
+from ..functions.expressions import negative, product_type, r8, safe_name
 from ..operators import descriptors as D
 from ..operators import geo as G
 from ..operators import keypoints as K
@@ -51,6 +51,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[r8(c).alias(c) if df.schema[c].dataType.simpleString() == "double" else F.col(c) for c in columns or df.columns])
 
 
+def signed(df: DataFrame) -> DataFrame:
+    """df with eight decimals in its doubles; what rounds to zero keeps its sign."""
+    return df.select(*[F.when(negative(c), -F.abs(r8(c))).otherwise(r8(c)).alias(c) if df.schema[c].dataType.simpleString() == "double" else F.col(c) for c in df.columns])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accuracy row of the points that the filter on pixel values leaves."""
     kp = K.without_values(X.key_points(spark, sf_dir), X.reference_pixels(spark, sf_dir), X.monitored_pixels(spark, sf_dir), NO_VALUES, REF_NODATA, MON_NODATA)
@@ -680,7 +685,7 @@ def _plain_numbers(c: str):
 @query(f"""+v AS ({_PIX}), s AS (SELECT count(*) AS n, {_five('dx', 'dx')}, {_five('dy', '-dy')} FROM conf)
 SELECT 'ref.tif mon.tif ' || valid_pixels || ' ' || n || ' 0.4 ' || {" || ' ' || ".join(f"printf('%.3f', {k}_{c})" for c in ('dx', 'dy') for k in ('min', 'max', 'median', 'mean', 'std'))} AS line FROM s, v""")
 def stat_line(spark, d):
-    return T.stat_line(rounded(T.geometric(X.key_points(spark, d))), "ref.tif", "mon.tif", valid_pixels(spark, d), digits=3)
+    return T.stat_line(signed(T.geometric(X.key_points(spark, d))), "ref.tif", "mon.tif", valid_pixels(spark, d), digits=3)
 
 
 _NAMES = "+n AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'kp_mask.tif' WHEN 1 THEN 'kp_delta.json' WHEN 2 THEN 'kp_delta.tif' ELSE p_name || '.tif' END AS name FROM part)"
