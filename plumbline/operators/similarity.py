@@ -1,7 +1,7 @@
 """Patch similarity of key points: ZNCC and two normalised mutual informations.
 
-Pixels are sent to tiles with a margin, points to the tile that holds them, and numpy works tile by tile: a task holds one
-tile, and no pixel is repeated for each point. ``patch_sums`` is the relational form of the same gather.
+Pixels are sent to tiles with a margin, the different places of points to the pair of tiles that holds them, and numpy works
+group by group: a task holds two tiles, and no pixel is repeated for each point. ``patch_sums`` is the relational form of the same gather.
 """
 
 from __future__ import annotations
@@ -15,7 +15,10 @@ from ..functions.expressions import nearest, pixel
 from .keypoints import HALF_CHIP, patch_bounds
 
 HALF_ZNCC, BINS, TILE = 21, 32, 256
-SCORES = "kp_id long, zncc double, nmi_sum double, nmi_studholme double"
+PATCHES, CHUNK = 4096, 16
+PLACES, TILES = ("xr", "yr", "xm", "ym"), ("ref_tile_x", "ref_tile_y", "mon_tile_x", "mon_tile_y")
+KEYS = (*TILES, "_slice")
+SCORES = "xr long, yr long, xm long, ym long, zncc double, nmi_sum double, nmi_studholme double"
 
 
 def zncc(a: np.ndarray, b: np.ndarray) -> float:
@@ -54,40 +57,75 @@ def nmi_studholme(a: np.ndarray, b: np.ndarray, bins: int = BINS) -> float:
 def _to_tiles(px: DataFrame, size: int, margin: int) -> DataFrame:
     """Pixels with the tiles whose area, widened by a margin, holds them."""
     span = lambda c: F.sequence(F.floor((F.col(c) - margin) / size).cast("int"), F.floor((F.col(c) + margin) / size).cast("int"))
-    return px.select("x", "y", "ref", "mon", F.explode(span("x")).alias("tile_x"), span("y").alias("_ty")).select("x", "y", "ref", "mon", "tile_x", F.explode("_ty").alias("tile_y"))
-
-
-def patch_scores(kp: DataFrame, pairs: DataFrame, width: int, height: int, threshold: float | None = 0.4, size: int = TILE) -> DataFrame:
+    return px.select("*", F.explode(span("x")).alias("tile_x"), span("y").alias("_ty")).select(*px.columns, "tile_x", F.explode("_ty").alias("tile_y"))
+
+
+def all_scores(ref: np.ndarray, mon: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """ZNCC and both mutual informations (n, 3) of the chips around places (xr, yr, xm, ym) of two images."""
+    side = 2 * HALF_CHIP + 1
+    inner = slice(HALF_CHIP - HALF_ZNCC, HALF_CHIP + HALF_ZNCC + 1)
+    views = [np.lib.stride_tricks.sliding_window_view(im, (side, side)) for im in (ref, mon)]
+    out = np.empty((len(at), 3))
+    for k in range(0, len(at), CHUNK):
+        p = at[k : k + CHUNK] - HALF_CHIP
+        n, bins, centred = len(p), [], []
+        for view, x, y in zip(views, (p[:, 0], p[:, 2]), (p[:, 1], p[:, 3]), strict=True):
+            v = view[y, x]
+            z = v[:, inner, inner].reshape(n, -1)
+            centred.append(z - z.mean(1, keepdims=True))
+            v = v.reshape(n, -1)
+            lo, hi = v.min(1, keepdims=True), v.max(1, keepdims=True)
+            flat = lo == hi
+            lo, hi = lo - 0.5 * flat, hi + 0.5 * flat
+            v -= lo
+            v *= float(BINS)
+            v /= hi - lo
+            bins.append(np.minimum(v.astype(np.int64), BINS - 1))  # none is negative
+        joint = np.bincount((np.arange(n)[:, None] * BINS**2 + bins[0] * BINS + bins[1]).ravel(), minlength=n * BINS**2).reshape(n, BINS, BINS) / side**2
+        h = [-(q * np.log(np.where(q > 0, q, 1))).reshape(n, -1).sum(1) for q in (joint.sum(2), joint.sum(1), joint)]
+        e, (u, w) = h[0] + h[1], centred
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = np.sqrt((u * u).sum(1) * (w * w).sum(1))
+            out[k : k + n, 0] = np.where(s > 0, (u * w).sum(1) / s, np.nan)
+            out[k : k + n, 1] = np.where(e > 0, 2 * (e - h[2]) / e, np.nan)
+            out[k : k + n, 2] = np.where(h[2] > 0, e / h[2], np.nan)
+    return out
+
+
+def patch_scores(kp: DataFrame, pairs: DataFrame, width: int, height: int, threshold: float | None = 0.4, size: int = TILE, most: int = PATCHES) -> DataFrame:
     """kp_id and the three scores of points of at least the threshold; null where a chip leaves an image or is constant.
 
-    pairs: x, y, ref, mon. The margin follows the largest displacement, so that a tile has all its points' patches.
+    pairs: x, y, ref, mon. Points with the same two places have the same scores, which are found once. A group holds places
+    of one tile of each image, about as many as most, and these two tiles with a margin of half a chip, so that neither the
+    number of points nor the largest displacement is in the size of a task.
     """
-    some = kp if threshold is None else kp.where(F.col("score") >= threshold)
-    b = patch_bounds(some, width, height)
-    far = b.where("in_bounds").agg(F.max(F.greatest(F.abs(F.col("xm") - F.col("xr")), F.abs(F.col("ym") - F.col("yr"))))).first()[0] or 0
-    margin = HALF_CHIP + int(far)
+    scored = F.col("in_bounds") if threshold is None else F.col("in_bounds") & (F.col("score") >= threshold)
+    b = patch_bounds(kp, width, height).select("kp_id", *PLACES, F.coalesce(scored, F.lit(False)).alias("_scored"))
     tile = lambda c: F.floor(F.col(c) / size).cast("int")
-    points = b.where("in_bounds").select("kp_id", "xr", "yr", "xm", "ym", tile("xr").alias("tile_x"), tile("yr").alias("tile_y"))
+    places = b.where("_scored").select(*PLACES).distinct().select("*", *[tile(c).alias(t) for c, t in zip(PLACES, TILES, strict=True)])
+    counts = places.groupBy(*TILES).agg(F.ceil(F.count("*") / most).cast("int").alias("_slices"))
+    dealt = places.join(F.broadcast(counts), [*TILES]).withColumn("_slice", F.pmod(F.xxhash64(*PLACES), F.col("_slices")).cast("int"))
+    groups = counts.select(*TILES, F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"))
+
+    def sent(value: str, x: str, y: str) -> DataFrame:
+        px = _to_tiles(pairs.select("x", "y", F.col(value).cast("double").alias("v")), size, HALF_CHIP).withColumnsRenamed({"tile_x": x, "tile_y": y})
+        return px.join(F.broadcast(groups), [x, y]).select(*[F.col(c).alias(c) for c in KEYS], "x", "y", "v", F.lit(value == "mon").alias("mon"))  # columns of their own, for the cogroup
 
     def score(key: tuple, pts: pd.DataFrame, px: pd.DataFrame) -> pd.DataFrame:
         if pts.empty:
-            return pd.DataFrame({"kp_id": [], "zncc": [], "nmi_sum": [], "nmi_studholme": []})
-        x0, y0 = key[0] * size - margin, key[1] * size - margin
-        images = np.zeros((2, size + 2 * margin, size + 2 * margin))
-        for k, c in enumerate(("ref", "mon")):
-            images[k, px["y"] - y0, px["x"] - x0] = px[c]
-        rows = []
-        for p in pts.itertuples(index=False):
-            cut = lambda im, x, y, h: im[y - y0 - h : y - y0 + h + 1, x - x0 - h : x - x0 + h + 1]
-            big = cut(images[0], p.xr, p.yr, HALF_CHIP), cut(images[1], p.xm, p.ym, HALF_CHIP)
-            hx, hy, hxy = entropies(*big)
-            e = hx + hy
-            rows.append((p.kp_id, zncc(cut(images[0], p.xr, p.yr, HALF_ZNCC), cut(images[1], p.xm, p.ym, HALF_ZNCC)), 2 * (e - hxy) / e if e > 0 else np.nan, e / hxy if hxy > 0 else np.nan))
-        return pd.DataFrame(rows, columns=["kp_id", "zncc", "nmi_sum", "nmi_studholme"])
-
-    scored = points.groupBy("tile_x", "tile_y").cogroup(_to_tiles(pairs, size, margin).groupBy("tile_x", "tile_y")).applyInPandas(score, SCORES)
-    clean = scored.select("kp_id", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("zncc", "nmi_sum", "nmi_studholme")])
-    return kp.select("kp_id").join(clean, "kp_id", "left")
+            return pd.DataFrame({c: [] for c in (*PLACES, "zncc", "nmi_sum", "nmi_studholme")})
+        images, at = np.zeros((2, size + 2 * HALF_CHIP, size + 2 * HALF_CHIP)), pts[list(PLACES)].to_numpy()
+        start = np.array(key[:4]) * size - HALF_CHIP
+        for im, (x0, y0), one in zip(images, (start[:2], start[2:]), (px[~px["mon"].astype(bool)], px[px["mon"].astype(bool)]), strict=True):
+            im[one["y"] - y0, one["x"] - x0] = one["v"]
+        got = all_scores(*images, at - start)
+        return pd.DataFrame({**{c: at[:, k] for k, c in enumerate(PLACES)}, "zncc": got[:, 0], "nmi_sum": got[:, 1], "nmi_studholme": got[:, 2]})
+
+    pixels = sent("ref", *TILES[:2]).unionByName(sent("mon", *TILES[2:]))
+    found = dealt.groupBy(*KEYS).cogroup(pixels.groupBy(*KEYS)).applyInPandas(score, SCORES)
+    clean = found.select(*PLACES, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("zncc", "nmi_sum", "nmi_studholme")])
+    none = b.where(~F.col("_scored")).select("kp_id", *[F.lit(None).cast("double").alias(c) for c in ("zncc", "nmi_sum", "nmi_studholme")])
+    return b.where("_scored").join(clean, [*PLACES], "left").select(*none.columns).unionByName(none)
 
 
 def _window(at: DataFrame, px: DataFrame, half: int) -> DataFrame:

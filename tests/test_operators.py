@@ -171,3 +171,24 @@ def test_statistics_print_a_northing_of_zero_as_sql(spark, data, tmp_path, name)
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
     assert got == sorted(con.sql(catalog.ORACLES[name]).fetchall()) and "-0.0" in str(got)
+
+
+def test_patch_scores_are_dealt_over_groups(spark):
+    rng = np.random.default_rng(6)
+    ref, mon = rng.integers(0, 200, (2, 150, 140))
+    pairs = spark.createDataFrame([(x, y, int(ref[y, x]), int(mon[y, x])) for x in range(140) for y in range(150)], "x long, y long, ref long, mon long")
+    kp = [(x, y, dx, dy, s) for x in (30, 60, 100) for y in (30, 70, 115) for dx, dy, s in ((0, 0, 1), (40, -40, 1), (-70, 80, 0.5), (2, 1, 0.1))] * 3
+    seen = set()
+    got = {r["kp_id"]: r for r in similarity.patch_scores(kps(spark, kp), pairs, 140, 150, 0.4, size=64, most=2).collect()}
+    assert len(got) == len(kp)
+    for i, (x, y, dx, dy, s) in enumerate(kp):
+        u, v = x + dx, y + dy
+        if s >= 0.4 and 28 <= u < 112 and 28 <= v < 122 and 28 <= x < 112 and 28 <= y < 122:
+            cut = lambda im, a, b, h: im[b - h : b + h + 1, a - h : a + h + 1]
+            seen.add((x, y))
+            assert got[i]["zncc"] == pytest.approx(similarity.zncc(cut(ref, x, y, 21), cut(mon, u, v, 21)))
+            assert got[i]["nmi_sum"] == pytest.approx(similarity.nmi_sum(cut(ref, x, y, 28), cut(mon, u, v, 28)))
+            assert got[i]["nmi_studholme"] == pytest.approx(similarity.nmi_studholme(cut(ref, x, y, 28), cut(mon, u, v, 28)))
+        else:
+            assert got[i]["zncc"] is None and got[i]["nmi_sum"] is None
+    assert len(seen) > 3
