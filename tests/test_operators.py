@@ -192,3 +192,18 @@ def test_patch_scores_are_dealt_over_groups(spark):
         else:
             assert got[i]["zncc"] is None and got[i]["nmi_sum"] is None
     assert len(seen) > 3
+
+
+def test_nearest_of_many_equal_vectors_are_the_least_ids(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(4, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v[i * 7 % 4]]) for i in range(120)], "vec_id long, embedding array<float>")
+    q, t = df.where("vec_id % 2 = 0"), df.where("vec_id % 2 = 1")
+    near = descriptors.nearest(q, t, 2, block=16)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    got = {(r["q"], r["rank"]): r["t"] for r in near.collect()}
+    f = v.astype(float)
+    for i in range(0, 120, 2):
+        d = sorted((np.linalg.norm(f[i * 7 % 4] - f[j * 7 % 4]), j) for j in range(1, 120, 2))
+        assert (got[i, 1], got[i, 2]) == (d[0][1], d[1][1])
